@@ -144,14 +144,15 @@ SCHEMA = "lang_pred string, score double, similarity double, rejected boolean"
 def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
     """The columns in keep, with lang_pred, score (softmax of the languages' cosines), similarity and rejected."""
     ship(docs.sparkSession)
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    column = "text" if "text" in keep else "__text"
+    rows = docs.select(*keep) if column == "text" else docs.select(*keep, F.col("text").cast("string").alias("__text"))
 
     def run(batches):
         for batch in batches:
             n = batch.num_rows
             lang, score, near, rejected = ["und"] * n, np.zeros(n), np.zeros(n), np.ones(n, dtype=bool)
             for lo in range(0, n, 256):
-                found = [] if model is None else [(i, c) for i, text in enumerate(batch.column("__text")[lo : lo + 256].to_pylist(), lo) if text and (c := counts(text)) is not None]
+                found = [] if model is None else [(i, c) for i, text in enumerate(batch.column(column)[lo : lo + 256].to_pylist(), lo) if text and (c := counts(text)) is not None]
                 if not found:
                     continue
                 at = np.array([i for i, _ in found])
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                     lang[i] = model.langs[b]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(near), pa.array(rejected)], [*keep, "lang_pred", "score", "similarity", "rejected"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
     return rows.mapInArrow(run, f"{schema}, {SCHEMA}")
 
 
