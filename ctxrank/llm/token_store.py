@@ -13,6 +13,7 @@ table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -23,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo
+from .bpe import BYTE_CHARS, Memo
 from .common import keyed_text, materialize, ship
 
 VOCAB = "word_bpe_49k.json"
@@ -31,14 +32,23 @@ END = 1
 LIMIT = 16
 STEP = 256
 BLOCK_IDS = 1 << 19
-PLAIN = re.compile("[^ \n]+")
-#: Partitions of the ordered documents, at least: the input's own number.
+RULES = (["NFC", "Replace", "Lowercase"], [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel"])
+#: Letters and digits of Latin-1 after lower-casing; what ODD finds is not split here.
+LETTERS, DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^ \\t-\\r{LETTERS}{DIGITS}]+")
+ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\xff]")
+SHOWN = {c: "".join(BYTE_CHARS[b] for b in chr(c).encode()) for c in range(256)}
 
 _tokenizers: dict[str, WordIds] = {}
 
 
 class WordIds:
-    """Ids by the tokenizers library. Its rules drop white space and never look across it, so a text is cut at spaces and line ends, and equal pieces are encoded once."""
+    """Ids by the tokenizers library, with equal words encoded once.
+
+    A file with the rules RULES splits text into runs of letters, single digits and runs of other marks, after
+    lower-casing. For texts within Latin-1 (normal form and lower case are then plain) the same split is made here and
+    the library's model encodes each distinct word; all other texts, and files with other rules, go through the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,13 +56,22 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(self._batch)
+        rules = json.loads(self.tokenizer.to_str())
+        normal = [x.get("type") for x in (rules["normalizer"] or {}).get("normalizers", [])]
+        split = [x.get("pattern", {}).get("Regex", x["type"]) for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = (normal, split) == RULES
+        self.memo = Memo(self._words, 800_000)
 
-    def _batch(self, pieces: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _words(self, words: list[str]) -> list[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        return [np.array([t.id for t in tokenize(w.translate(SHOWN))], dtype="<u4").tobytes() for w in words]
 
     def encode_bytes(self, text: str) -> bytes:
-        return b"".join(self.memo.many(PLAIN.findall(text)))
+        if not text:
+            return b""
+        if self.plain and not ODD.search(text):
+            return b"".join(self.memo.many(WORD.findall(text.lower())))
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def word_ids(path: str) -> WordIds:
