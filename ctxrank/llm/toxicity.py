@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, terms: int = TERMS, e
     total = labelled.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).first()
     if not total.n:
         return None
-    rows = docs.where(train).join(labelled, "doc_id")
+    rows = docs.where(train).join(labelled.hint("merge"), "doc_id")  # shuffled alike at every size
     words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     counted = rows.select("toxic", F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.sum("toxic").alias("pos"), F.count("*").alias("df"))
     n, pos = F.lit(float(total.n)), F.lit(float(total.pos))
