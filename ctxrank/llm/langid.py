@@ -26,7 +26,9 @@ BUCKETS = 4096
 SAMPLE = 2048
 CLUSTERS = 4
 #: The limit of a centroid: this quantile of its sample's cosines, times the slack.
-QUANTILE, SLACK = 0.01, 0.5
+QUANTILE, SLACK = 0.01, 0.3
+#: Texts of fewer n-grams have a lower limit, in proportion.
+FULL = 400
 SHARPNESS = 12.0
 
 _letters: list[np.ndarray] = []
@@ -163,7 +165,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 weight = np.exp(SHARPNESS * (by_lang - by_lang.max(1, keepdims=True)))
                 near[at] = np.clip(by_lang.max(1), 0, 1)
                 score[at] = weight[np.arange(len(at)), best] / weight.sum(1)
-                rejected[at] = sims[np.arange(len(at)), centre] < model.limits[centre]
+                size = np.array([c.sum() for _, c in found])
+                rejected[at] = sims[np.arange(len(at)), centre] < model.limits[centre] * np.minimum(1, size / FULL)
                 for i, b in zip(at, best):
                     lang[i] = model.langs[b]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(near), pa.array(rejected)], [*keep, "lang_pred", "score", "similarity", "rejected"])
