@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .common import keyed_text, materialize
 
-SAMPLES = 32
+SAMPLES = 16
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -41,16 +41,16 @@ def sample(h: Column, log_w: Column, d: int) -> Column:
 
 def weighted_terms(text: Column) -> Column:
     """array<struct<term, n>>: sorting brings equal words together; a run's first place and the next run's give its count."""
-    words = F.sort_array(F.filter(F.split(F.lower(text), SPACE), lambda w: w != ""))
-    held = F.array(F.struct(words.alias("w"), F.size(words).alias("n")))
+    words = F.sort_array(F.array_remove(F.split(F.lower(text), SPACE), ""))
 
-    def runs(x):
-        firsts = F.filter(F.sequence(F.lit(0), x["n"] - 1), lambda i: (i == 0) | (F.get(x["w"], i) != F.get(x["w"], i - 1)))
-        return F.when(x["n"] == 0, F.array().cast("array<struct<term:string,n:int>>")).otherwise(
-            F.transform(F.arrays_zip(firsts.alias("a"), F.concat(F.slice(firsts, 2, 1 << 30), F.array(x["n"])).alias("b")), lambda y: F.struct(F.get(x["w"], y["a"]).alias("term"), (y["b"] - y["a"]).alias("n")))
-        )
+    def runs(w):
+        n = F.size(w)
+        firsts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        counted = F.transform(F.array(firsts), lambda a: F.zip_with(a, F.concat(F.slice(a, 2, n), F.array(n)), lambda x, y: F.struct(F.get(w, x).alias("term"), (y - x).alias("n"))))
+        return F.when(n > 0, F.element_at(counted, 1)).otherwise(F.array().cast("array<struct<term:string,n:int>>"))
 
-    return F.element_at(F.transform(held, runs), 1)
+    # The one-element array keeps the words, so that they are made once.
+    return F.element_at(F.transform(F.array(words), runs), 1)
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -99,15 +99,17 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("prev_id"), F.expr("int(n_chars div 2)").alias("half"))
     heads = docs.join(wanted, "doc_id").select(F.col("prev_id").alias("doc_id"), F.expr("left(text, half)").alias("head"))
     both = docs.join(heads, "doc_id").withColumn("edited", F.concat(F.expr("left(text, length(text) - int(length(text) div 2))"), F.col("head")))
-    each = both.select("doc_id", F.sha2("edited", 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
+    both = both.withColumn("sha", F.sha2("edited", 256))
+    each = both.select("doc_id", "sha", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("x"))
     each = each.select("doc_id", "x.kind", "x.text", "sha")
     # Words of one text stay in its partition: grouping by doc_id needs no further exchange.
     terms = each.select("doc_id", "kind", "sha", F.explode_outer(weighted_terms(F.col("text"))).alias("x"))
     terms = terms.select("doc_id", "kind", "sha", F.xxhash64("x.term").alias("h"), F.log(F.col("x.n").cast("double")).alias("w"))
-    mins = terms.groupBy("doc_id", "kind").agg(F.min("sha").alias("sha"), *[F.min(F.when(F.col("w").isNotNull(), sample(F.col("h"), F.col("w"), d))).alias(f"s{d}") for d in range(samples)])
+    # Doubles only are aggregated: that keeps the aggregation in hash maps.
+    mins = terms.groupBy("doc_id", "kind", "sha").agg(*[F.min(F.when(F.col("w").isNotNull(), sample(F.col("h"), F.col("w"), d))).alias(f"s{d}") for d in range(samples)])
     sigs = mins.select("doc_id", "kind", "sha", F.when(F.col("s0").isNotNull(), F.array(*[F.col(f"s{d}") for d in range(samples)])).alias("sig"))
-    pairs = sigs.groupBy("doc_id").agg(F.max("sha").alias("edited_sha256"), F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edited"))
-    done = materialize(pairs, "signatures")
+    pairs = sigs.groupBy("doc_id", "sha").agg(F.max(F.when(F.col("kind") == 0, F.col("sig"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("sig"))).alias("edited"))
+    done = materialize(pairs.withColumnRenamed("sha", "edited_sha256"), "signatures")
     after = done.select(F.col("doc_id").alias("next_id"), F.col("own").alias("next"))
     out = order.join(done, "doc_id").join(after, "next_id")
     own, edited = F.col("own"), F.col("edited")
