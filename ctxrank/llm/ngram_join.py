@@ -9,7 +9,8 @@ order.
 1. These prefix entries meet by shingle. In each group the members are paired with one of them, the least class
    (groups of frequent shingles are salted, and their parts' least classes paired as well). Pairs that sizes or
    places in the order rule out go.
-2. Pairs are verified: the partners of a class stand in a trie of globally ordered sets, walked in order so that
+2. Bitmaps of the sets (one hash bit for each shingle, two bits at most a shingle in all) bound the sets' difference from
+   below; pairs whose bound is too large go. The others are verified: the partners of a class stand in a trie of globally ordered sets, walked in order so that
    partners share the overlap of what they have in common; branches whose remaining length cannot reach the bound are cut.
 3. Verified pairs give components. Members of a group that are still in different components are paired in full
    and verified too, so that no link between components is lost, while no pair inside a component is made.
@@ -36,6 +37,8 @@ HOT_LIST = 1 << 16
 HOT_LOCAL, HOT_TOTAL, CHUNK = 8, 64, 1 << 21
 SALTS = 32
 PARTNERS = 512
+#: Ids of documents to verify are broadcast up to this number (8 MB), beyond it the join shuffles.
+BROADCAST_IDS = 500_000
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -46,6 +49,24 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits at the leading digits of the hashes; dropping a digit joins neighbouring bits."""
+    size = max(6, (len(s) - 1).bit_length()) if len(s) else 6
+    out = np.zeros(1 << size, dtype=np.uint8)
+    out[(s >> np.uint64(64 - size)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def differences(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one set only."""
+    x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b))
+    while len(x) > len(y):
+        x = x[::2] | x[1::2]
+    while len(y) > len(x):
+        y = y[::2] | y[1::2]
+    return int(np.count_nonzero(x != y))
+
+
 def needed(n: int) -> int:
     """ceil(3n / 4)"""
     return (3 * n + 3) // 4
@@ -75,7 +96,7 @@ class Order:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Written table: kind 0 (doc_id, n, key) of each document; kind 1 (key: a shingle, n: its count) of frequent ones."""
+    """Written table: kind 0 (doc_id, n, key, bits) of each document; kind 1 (key: a shingle, n: its count) of frequent ones."""
 
     def run(batches):
         seen, held, size = set(), [], 0
@@ -84,15 +105,16 @@ def sets_of(docs: DataFrame) -> DataFrame:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= HOT_LOCAL
             values, n = values[often].astype(np.int64), n[often]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(values)], ["kind", "doc_id", "n", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(values), pa.nulls(len(n), pa.binary())], ["kind", "doc_id", "n", "key", "bits"])
 
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bits = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
                 key = set_key(s)
                 sizes.append(len(s))
                 keys.append(key)
+                bits.append(bitmap(s))
                 if key not in seen and len(s):
                     seen.add(key)
                     held.append(s)
@@ -101,11 +123,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
                         yield counted()
                         seen, held, size = set(), [], 0
             rows = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, dtype=np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["kind", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, dtype=np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "key", "bits"])
         if held:
             yield counted()
 
-    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint"), "sets")
+    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint, bits binary"), "sets")
 
 
 def hot_shingles(table: DataFrame, most: int = HOT_LIST) -> np.ndarray:
@@ -186,19 +208,35 @@ def overlaps(probe: np.ndarray, partners: list[np.ndarray], order: Order) -> lis
     return out
 
 
+def near(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule Jaccard 3/4 out: written."""
+    one = table.where("kind = 0 and n > 0").select("key", "n", "bits").dropDuplicates(["key"])
+    side = lambda x: one.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")]
+            kept = pa.array([7 * differences(sa, sb) <= na + nb for na, sa, nb, sb in zip(*cols)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(kept)
+
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint"), "near")
+
+
 def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """The pairs (a, b) of classes whose Jaccard similarity is at least 3/4, with the overlap: written."""
-    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    """The pairs (a < b) of classes whose Jaccard similarity is at least 3/4, with the overlap: written."""
+    pairs = near(pairs, table)
     one = table.where("kind = 0 and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct()
-    wanted = one.join(wanted, "key", "left_semi").where("doc_id is not null")
+    wanted = materialize(one.join(wanted, "key", "left_semi").where("doc_id is not null").select("doc_id"), "wanted_ids")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
     def sets(batches):
         for batch in batches:
             texts = [shingle_set(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in texts], pa.int64()), pa.array([s.tobytes() for s in texts], pa.binary())], ["key", "s"])
 
-    found = docs.join(wanted.select("doc_id"), "doc_id", "left_semi").select("text").mapInArrow(sets, "key bigint, s binary").dropDuplicates(["key"])
+    found = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(sets, "key bigint, s binary").dropDuplicates(["key"])
     found = materialize(found, "wanted")
     both = pairs.join(found.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").join(found.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
 
