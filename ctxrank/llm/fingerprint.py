@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from .common import keyed_text, materialize
 
-SAMPLES = 16
+SAMPLES = 32
 SPACE = r"[\x20\x09-\x0D]+"
 
 
