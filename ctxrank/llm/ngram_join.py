@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, keyed_text, materialize, ship
+from .common import components, keyed_text, materialize, ship, small_batches
 from .shingles import shingle_hashes, word_hashes
 
 HOT_LIST = 1 << 16
 #: A shingle is frequent from this many occurrences on in any CHUNK shingles that a task has read.
 HOT_LOCAL, HOT_TOTAL, CHUNK = 8, 64, 1 << 21
 SALTS = 32
-PARTNERS = 512
+PARTNERS = 64
 #: Ids of documents to verify are broadcast up to this number (8 MB), beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -258,7 +258,8 @@ def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarra
         if held:
             yield walk()
 
-    return materialize(both.select("a", "sa", "b", "sb").mapInArrow(check, "a bigint, b bigint, shared bigint"), "links")
+    with small_batches(docs.sparkSession):
+        return materialize(both.select("a", "sa", "b", "sb").mapInArrow(check, "a bigint, b bigint, shared bigint"), "links")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
