@@ -12,8 +12,9 @@ order.
 2. Bitmaps of the sets (one hash bit for each shingle, two bits at most a shingle in all) bound the sets' difference from
    below; pairs whose bound is too large go. The others are verified: the partners of a class stand in a trie of globally ordered sets, walked in order so that
    partners share the overlap of what they have in common; branches whose remaining length cannot reach the bound are cut.
-3. Verified pairs give components. Members of a group that are still in different components are paired in full
-   and verified too, so that no link between components is lost, while no pair inside a component is made.
+3. Verified pairs give components. Large groups with members in different components are paired with a few of these at a
+   time while that links any; what is then still in different components is paired in full and verified too,
+   so that no link between components is lost, while no pair inside a component is made.
 
 Defined results: null texts, empty ones and those without words have no shingles and link with nothing; repeated rows are
 rows of the result, with one component; with null doc_ids the component is the least other id or null; an empty table
@@ -32,9 +33,11 @@ from pyspark.sql.window import Window
 from .common import components, keyed_text, materialize, ship, small_batches
 from .shingles import shingle_hashes, word_hashes
 
-HOT_LIST = 1 << 16
+HOT_LIST = 1 << 18
 #: A shingle is frequent from this many occurrences on in any CHUNK shingles that a task has read.
-HOT_LOCAL, HOT_TOTAL, CHUNK = 8, 64, 1 << 21
+HOT_LOCAL, HOT_TOTAL, CHUNK = 4, 16, 1 << 22
+#: Groups over this size are paired with REPS members at a time, ROUNDS times at most, before they are paired in full.
+GROUP, REPS, ROUNDS = 16, 4, 8
 SALTS = 32
 PARTNERS = 64
 #: Ids of documents to verify are broadcast up to this number (8 MB), beyond it the join shuffles.
@@ -282,19 +285,55 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     links = verified(tried, table, docs, hot)
     classes = met.select(F.col("key").alias("id")).distinct()
     label = materialize(components(classes, links), "components")
-    # Members of one group in different components: every pair that has not been tried.
-    parts = met.select("h", "key", "n", "at").distinct().join(label.withColumnRenamed("id", "key"), "key")
-    several = parts.groupBy("h").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("h")
-    parts = materialize(parts.join(several, "h", "left_semi"), "apart")
-    x, y = parts.alias("x"), parts.alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component_id") != F.col("y.component_id")) & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    rest = materialize(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        links = links.union(verified(rest, table, docs, hot))
-        label = materialize(components(classes, links), "components")
+    groups = materialize(met.select("h", "key", "n", "at").distinct(), "groups")
+    for k in range(ROUNDS + 1):
+        parts = apart(groups, label)
+        pairs = with_some(parts, k) if k < ROUNDS else with_all(parts)
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.limit(1).count():
+            if k < ROUNDS:
+                continue
+            break
+        new = verified(pairs, table, docs, hot)
+        tried = tried.union(pairs)
+        if new.limit(1).count():
+            links = links.union(new)
+            label = materialize(components(classes, links), "components")
+        elif k < ROUNDS:
+            pairs = materialize(with_all(parts).join(tried, ["a", "b"], "left_anti"), "pairs")
+            label = materialize(components(classes, links.union(verified(pairs, table, docs, hot))), "components")
+            break
     return results(table, label)
 
 
+def apart(groups: DataFrame, label: DataFrame) -> DataFrame:
+    """Written: the groups that have members in several components, with the components."""
+    parts = groups.join(label.withColumnRenamed("id", "key"), "key")
+    several = parts.groupBy("h").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
+    return materialize(parts.join(several, "h"), "apart")
+
+
+def ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def with_some(parts: DataFrame, k: int) -> DataFrame:
+    """(a, b): members of large groups with REPS of them, those with the least hashes of round k, if in other components."""
+    member = F.struct("key", "n", "at", "component_id")
+    least = [F.min(F.struct(F.xxhash64("key", F.lit(k * REPS + i)), member.alias("x"))).alias(f"r{i}") for i in range(REPS)]
+    reps = parts.where(F.col("m") > GROUP).groupBy("h").agg(*least)
+    reps = reps.select("h", F.explode(F.array_distinct(F.array(*[F.col(f"r{i}.x") for i in range(REPS)]))).alias("r"))
+    met = parts.join(reps, "h").where((F.col("component_id") != F.col("r.component_id")) & possible(F.col("n"), F.col("at"), F.col("r.n"), F.col("r.at")))
+    return met.select(*ordered("key", "r.key")).distinct()
+
+
+def with_all(parts: DataFrame) -> DataFrame:
+    """(a, b): all pairs of members in different components."""
+    x, y = parts.alias("x"), parts.alias("y")
+    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component_id") != F.col("y.component_id")) & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+
+
 def results(table: DataFrame, label: DataFrame) -> DataFrame:
     rows = table.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
     firsts = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component_id", "key"))
