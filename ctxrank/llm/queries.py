@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprint, html_text, langid, ngram_join, secrets, token_store, toxicity
+from . import bpe, decontaminate, fingerprint, html_text, langid, ngram_join, secrets, substring_dedup, token_store, toxicity
 from .common import documents
 
 
@@ -16,6 +16,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find(documents(spark, sf_dir))
+
+
 def op4_weighted_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op4_weighted_fingerprint, op5_language_id, op6_decontaminate, op7_html_text, op8_ngram_join, op9_token_store, op10_toxicity)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_secret_scan, op3_substring_dedup, op4_weighted_fingerprint, op5_language_id, op6_decontaminate, op7_html_text, op8_ngram_join, op9_token_store, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
