@@ -85,22 +85,26 @@ def crc_mod(col, m: int):
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component_id): the smallest id reachable over undirected edges (a, b), for each id of nodes.
 
-    Only ids with an edge take part in the iteration: each round every vertex takes the smallest label
-    around it, then jumps to its label's label; every round is written to the shared folder.
+    Only ids with an edge take part. In each round every vertex is merged into the smallest one next to it (and
+    on to that one's choice), and the graph shrinks to the merged vertices; each round is written to the shared folder.
     """
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b")
-    both = materialize(both.union(both.select("v", "u")).distinct(), "edges")
-    label = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label"))
-    label = materialize(label, "labels")
+    graph = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("a <> b")
+    graph = materialize(graph.union(graph.select("v", "u")).distinct(), "edges")
+    merged = None
     for _ in range(rounds):
-        around = both.join(label.select(F.col("u").alias("v"), F.col("label").alias("l2")), "v").groupBy("u").agg(F.min("l2").alias("l2"))
-        near = label.join(around, "u", "left").select("u", F.col("label").alias("old"), F.least("label", "l2").alias("near"))
-        jump = label.select(F.col("u").alias("near"), F.col("label").alias("far"))
-        new = materialize(near.join(jump, "near", "left").select("u", "old", F.least("near", "far").alias("label")), "labels")
-        changed = new.where("old <> label").limit(1).count()
-        label = new.select("u", "label")
-        if not changed:
+        near = graph.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("near"))
+        near = materialize(near, "near")
+        step = near.join(near.select(F.col("u").alias("near"), F.col("near").alias("far")), "near").select("u", F.col("far").alias("to"))
+        step = materialize(step, "labels")
+        if merged is None:
+            merged = step.select(F.col("u").alias("id"), F.col("to").alias("label"))
+        else:
+            merged = merged.join(step.select(F.col("u").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        merged = materialize(merged, "merged")
+        graph = graph.join(step, "u").select(F.col("to").alias("u"), "v").join(step.select(F.col("u").alias("v"), F.col("to").alias("w")), "v").select("u", F.col("w").alias("v"))
+        graph = materialize(graph.where("u <> v").distinct(), "edges")
+        if not graph.limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")
-    return nodes.select("id").join(label.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("label", "id").alias("component_id"))
+    return nodes.select("id").join(merged, "id", "left").select("id", F.coalesce("label", "id").alias("component_id"))
