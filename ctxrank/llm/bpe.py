@@ -45,7 +45,7 @@ BYTE_CHARS = byte_chars()
 class Memo:
     """Ids of text pieces as bytes; at most `most` pieces of at most `longest` characters are kept."""
 
-    def __init__(self, encode_batch, most: int = 600_000, longest: int = 48):
+    def __init__(self, encode_batch, most: int = 300_000, longest: int = 48):
         self.encode_batch, self.most, self.longest, self.known = encode_batch, most, longest, {}
 
     def many(self, pieces: list[str]) -> list[bytes]:

@@ -35,9 +35,9 @@ from .shingles import shingle_hashes, word_hashes
 
 HOT_LIST = 1 << 18
 #: A shingle is frequent from this many occurrences on in any CHUNK shingles that a task has read.
-HOT_LOCAL, HOT_TOTAL, CHUNK = 4, 16, 1 << 22
+HOT_LOCAL, HOT_TOTAL, CHUNK = 4, 16, 1 << 21
 #: Groups over this size are paired with REPS members at a time, ROUNDS times at most, before they are paired in full.
-GROUP, REPS, ROUNDS = 16, 4, 8
+GROUP, REPS, ROUNDS = 16, 4, 3
 SALTS = 32
 PARTNERS = 64
 #: Ids of documents to verify are broadcast up to this number (8 MB), beyond it the join shuffles.

@@ -13,7 +13,7 @@ class _Words(dict):
     """Word -> 64-bit hash; forgets all when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 700_000:
+        if len(self) > 300_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
