@@ -269,6 +269,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, n_shingles, component_id) for each row of docs."""
     docs = keyed_text(docs, id_col, text_col)
     ship(docs.sparkSession)
+    with small_batches(docs.sparkSession, 1024):
+        return joined(docs)
+
+
+def joined(docs: DataFrame) -> DataFrame:
     table = sets_of(docs)
     hot = hot_shingles(table)
     entries = prefixes(docs, hot).withColumn("salt", F.when(F.col("hot"), F.pmod("key", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
