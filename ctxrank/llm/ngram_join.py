@@ -13,8 +13,11 @@ order.
    below; pairs whose bound is too large go. The others are verified: the partners of a class stand in a trie of globally ordered sets, walked in order so that
    partners share the overlap of what they have in common; branches whose remaining length cannot reach the bound are cut.
 3. Verified pairs give components. Large groups with members in different components are paired with a few of these at a
-   time while that links any; what is then still in different components is paired in full and verified too,
-   so that no link between components is lost, while no pair inside a component is made.
+   time while that links any; what is then still in different components is compared in full, so that no link
+   between components is lost, while no pair inside a component is made. Two classes come out of the first shingle that
+   they share only (as far as HEADS shingles tell), where their overlap has all its length before it, and only if
+   small bitmaps of their sets do not rule them out. These comparisons are in the join's condition: their number
+   still is that of the pairs in a group that lie in different components.
 
 Defined results: null texts, empty ones and those without words have no shingles and link with nothing; repeated rows are
 rows of the result, with one component; with null doc_ids the component is the least other id or null; an empty table
@@ -39,6 +42,8 @@ HOT_LOCAL, HOT_TOTAL, CHUNK = 4, 16, 1 << 21
 #: Groups over this size are paired with REPS members at a time, ROUNDS times at most, before they are paired in full.
 GROUP, REPS, ROUNDS = 16, 4, 3
 SALTS = 32
+#: Longs of a set's fixed-size bitmap, compared where pairs are made; shingles of a class kept to tell where two classes met first.
+SKETCH, HEADS = 8, 16
 PARTNERS = 64
 #: Ids of documents to verify are broadcast up to this number (8 MB), beyond it the join shuffles.
 BROADCAST_IDS = 500_000
@@ -60,6 +65,13 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """SKETCH longs: a bitmap by the leading digits of the hashes, of one size for all sets."""
+    out = np.zeros(64 * SKETCH, dtype=np.uint8)
+    out[(s >> np.uint64(64 - (64 * SKETCH - 1).bit_length())).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
 def differences(a: bytes, b: bytes) -> int:
     """At least so many shingles are in one set only."""
     x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b))
@@ -99,7 +111,7 @@ class Order:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Written table: kind 0 (doc_id, n, key, bits) of each document; kind 1 (key: a shingle, n: its count) of frequent ones."""
+    """Written table: kind 0 (doc_id, n, key, bits, sketch) of each document; kind 1 (key: a shingle, n: its count) of frequent ones."""
 
     def run(batches):
         seen, held, size = set(), [], 0
@@ -108,16 +120,17 @@ def sets_of(docs: DataFrame) -> DataFrame:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= HOT_LOCAL
             values, n = values[often].astype(np.int64), n[often]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(values), pa.nulls(len(n), pa.binary())], ["kind", "doc_id", "n", "key", "bits"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(values), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], ["kind", "doc_id", "n", "key", "bits", "sketch"])
 
         for batch in batches:
-            sizes, keys, bits = [], [], []
+            sizes, keys, bits, small = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py())
                 key = set_key(s)
                 sizes.append(len(s))
                 keys.append(key)
                 bits.append(bitmap(s))
+                small.append(np.frombuffer(sketch(s), dtype=np.int64))
                 if key not in seen and len(s):
                     seen.add(key)
                     held.append(s)
@@ -126,11 +139,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
                         yield counted()
                         seen, held, size = set(), [], 0
             rows = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, dtype=np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "key", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, dtype=np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["kind", "doc_id", "n", "key", "bits", "sketch"])
         if held:
             yield counted()
 
-    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint, bits binary"), "sets")
+    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint, bits binary, sketch array<bigint>"), "sets")
 
 
 def hot_shingles(table: DataFrame, most: int = HOT_LIST) -> np.ndarray:
@@ -291,31 +304,51 @@ def joined(docs: DataFrame) -> DataFrame:
     classes = met.select(F.col("key").alias("id")).distinct()
     label = materialize(components(classes, links), "components")
     groups = materialize(met.select("h", "key", "n", "at").distinct(), "groups")
-    for k in range(ROUNDS + 1):
-        parts = apart(groups, label)
-        pairs = with_some(parts, k) if k < ROUNDS else with_all(parts)
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.limit(1).count():
-            if k < ROUNDS:
-                continue
-            break
+    for k in range(ROUNDS):
+        parts = apart(groups, label, table)
+        groups = parts.select("h", "key", "n", "at")  # groups in one component stay in one
+        pairs = materialize(with_some(parts, k).join(tried, ["a", "b"], "left_anti"), "pairs")
         new = verified(pairs, table, docs, hot)
-        tried = tried.union(pairs)
-        if new.limit(1).count():
-            links = links.union(new)
-            label = materialize(components(classes, links), "components")
-        elif k < ROUNDS:
-            pairs = materialize(with_all(parts).join(tried, ["a", "b"], "left_anti"), "pairs")
-            label = materialize(components(classes, links.union(verified(pairs, table, docs, hot))), "components")
+        if not new.limit(1).count():
             break
+        tried = tried.union(pairs)
+        label = joined_up(label, new)
+    else:
+        parts = apart(groups, label, table)
+    pairs = materialize(with_all(parts).join(tried, ["a", "b"], "left_anti"), "pairs")
+    label = joined_up(label, verified(pairs, table, docs, hot))
     return results(table, label)
 
 
-def apart(groups: DataFrame, label: DataFrame) -> DataFrame:
-    """Written: the groups that have members in several components, with the components."""
+def joined_up(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Written: label with the components that further links (a, b) connect made one."""
+    ends = links.select("a", "b")
+    for x in ("a", "b"):
+        ends = ends.join(label.select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}")), x)
+    old = label.select(F.col("component_id").alias("id")).distinct()
+    new = components(old, materialize(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bridges"))
+    new = new.select(F.col("id").alias("component_id"), F.col("component_id").alias("to"))
+    return materialize(label.join(new, "component_id").select("id", F.col("to").alias("component_id")), "components")
+
+
+def apart(groups: DataFrame, label: DataFrame, table: DataFrame) -> DataFrame:
+    """Written: the groups that have members in several components, with the components, sketches and first shingles."""
     parts = groups.join(label.withColumnRenamed("id", "key"), "key")
     several = parts.groupBy("h").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
-    return materialize(parts.join(several, "h"), "apart")
+    parts = materialize(parts.join(several, "h"), "apart")
+    # A class has as many rows here as its prefix has entries at most.
+    heads = parts.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "h"))), 1, HEADS).alias("heads"))
+    small = table.where("kind = 0 and n > 0").select("key", "sketch").dropDuplicates(["key"])
+    return parts.join(heads.join(small, "key"), "key").withColumn("before", F.expr("transform(filter(heads, x -> x.at < at), x -> x.h)")).drop("heads")
+
+
+def first_met(x: str, y: str):
+    """Whether two members of a group may be linked, and shared no shingle (of the first HEADS) before this one."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    n1, n2 = c(x, "n"), c(y, "n")
+    rest = F.least(n1 - c(x, "at"), n2 - c(y, "at"))  # the overlap, if this is the first shared shingle
+    apart = sum((F.bit_count(c(x, "sketch")[i].bitwiseXOR(c(y, "sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    return (c(x, "component_id") != c(y, "component_id")) & (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * rest >= 3 * (n1 + n2)) & (7 * apart <= n1 + n2) & ~F.arrays_overlap(c(x, "before"), c(y, "before"))
 
 
 def ordered(a: str, b: str) -> list:
@@ -324,18 +357,17 @@ def ordered(a: str, b: str) -> list:
 
 def with_some(parts: DataFrame, k: int) -> DataFrame:
     """(a, b): members of large groups with REPS of them, those with the least hashes of round k, if in other components."""
-    member = F.struct("key", "n", "at", "component_id")
+    member = F.struct("key", "n", "at", "component_id", "sketch", "before")
     least = [F.min(F.struct(F.xxhash64("key", F.lit(k * REPS + i)), member.alias("x"))).alias(f"r{i}") for i in range(REPS)]
     reps = parts.where(F.col("m") > GROUP).groupBy("h").agg(*least)
-    reps = reps.select("h", F.explode(F.array_distinct(F.array(*[F.col(f"r{i}.x") for i in range(REPS)]))).alias("r"))
-    met = parts.join(reps, "h").where((F.col("component_id") != F.col("r.component_id")) & possible(F.col("n"), F.col("at"), F.col("r.n"), F.col("r.at")))
-    return met.select(*ordered("key", "r.key")).distinct()
+    reps = reps.select(F.col("h").alias("rh"), F.explode(F.array_distinct(F.array(*[F.col(f"r{i}.x") for i in range(REPS)]))).alias("r"))
+    met = parts.alias("x").join(reps, (F.col("x.h") == F.col("rh")) & first_met("x", "r"))
+    return met.select(*ordered("x.key", "r.key")).distinct()
 
 
 def with_all(parts: DataFrame) -> DataFrame:
-    """(a, b): all pairs of members in different components."""
-    x, y = parts.alias("x"), parts.alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component_id") != F.col("y.component_id")) & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    """(a, b): all pairs of members in different components that the sketches leave."""
+    met = parts.alias("x").join(parts.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & first_met("x", "y"))
     return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
