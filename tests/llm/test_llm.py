@@ -167,6 +167,31 @@ def test_substring_dedup(spark, texts):
     assert got[6].class_id == got[7].class_id == got[8].class_id == 6
 
 
+def test_passages_with_changes(spark):
+    """Substitutions, insertions and deletions in passages of 60 to 100 words, at similarities over 3/4."""
+    rng = random.Random(12)
+    cases = [(60, [30], "s"), (68, [34], "s"), (100, [33, 66], "s"), (80, [40], "i"), (80, [40], "d"), (100, [33, 66], "i"), (100, [50], "x")]
+    more = {}
+    for k, (n, at, kind) in enumerate(cases):
+        a = [f"p{k}_{i}" for i in range(n)]
+        b = list(a)
+        for i in reversed(at):
+            b[i : i + (kind in "sd")] = {"s": ["new"], "i": ["new"], "d": [], "x": ["new", "words", "in", "it"]}[kind]
+        before, after = words(rng, 70), words(rng, 70)
+        more[2 * k], more[2 * k + 1] = f"{before} {' '.join(a)}", f"{' '.join(b)} {after}"
+        own = [substring_dedup.Shingles(substring_dedup.word_hashes(more[x])) for x in (2 * k, 2 * k + 1)]
+        for c in (3, n - 8):
+            cb = own[1].at[own[0].values[70 + c]][0]
+            assert substring_dedup.passage(*own, 70 + c, cb) == (70, n, 0, len(b))
+    far = list(a)
+    far[10:90:8] = ["z"] * 10
+    own = [substring_dedup.Shingles(substring_dedup.word_hashes(" ".join(x))) for x in (a, far)]
+    assert substring_dedup.passage(*own, 0, 0) is None
+    got = {r.doc_id: r for r in substring_dedup.find(frame(spark, more)).collect()}
+    assert set(got) == set(more) and all(got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k for k in range(len(cases)))
+    assert all(got[2 * k].spans == f"70:{70 + n}" for k, (n, _, _) in enumerate(cases))
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 62, 90).astype(np.uint64) << np.uint64(1)
