@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -192,6 +193,27 @@ def test_passages_with_changes(spark):
     assert all(got[2 * k].spans == f"70:{70 + n}" for k, (n, _, _) in enumerate(cases))
 
 
+def test_groups_of_frequent_stretches(spark):
+    """A passage whose tokens all stand in other documents too, beside other words: those are not its partners."""
+    rng = random.Random(21)
+    passage = words(rng, 80)
+    cls = lambda text: xxhash.xxh64_intdigest(text.encode(), 42)
+
+    def beside(middle, fits):
+        while not fits((cls(text := f"{words(rng, 60)} {middle} {words(rng, 60)}") + (1 << 63)) % (1 << 64) / 2**64):
+            pass
+        return text
+
+    more = {i: beside(passage, lambda x: 0.4 < x < 0.6) for i in range(50, 54)}
+    for i in range(200, 228, 2):  # every stretch of 15 words alone, in classes on both ends of every group
+        piece = " ".join(passage.split()[(i - 200) // 2 * 5 : (i - 200) // 2 * 5 + 20])
+        for k in range(6):
+            more[i + 1000 * k], more[100 + i + 1000 * k] = beside(piece, lambda x: x < 0.3), beside(piece, lambda x: x > 0.7)
+    got = {r.doc_id: r for r in substring_dedup.find(frame(spark, more)).collect()}
+    assert set(got) == set(range(50, 54)) and {r.class_id for r in got.values()} == {50}
+    assert all(r.spans == "60:140" for r in got.values())
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 62, 90).astype(np.uint64) << np.uint64(1)
