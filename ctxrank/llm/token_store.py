@@ -47,7 +47,8 @@ class WordIds:
 
     A file with the rules RULES splits text into runs of letters, single digits and runs of other marks, after
     lower-casing. For texts within Latin-1 (normal form and lower case are then plain) the same split is made here and
-    the library's model encodes each distinct word; all other texts, and files with other rules, go through the library whole.
+    the library's model encodes each distinct word; all other texts, those that hold an added token's content in any case,
+    and files with other rules, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -55,11 +56,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         rules = json.loads(self.tokenizer.to_str())
         normal = [x.get("type") for x in (rules["normalizer"] or {}).get("normalizers", [])]
         split = [x.get("pattern", {}).get("Regex", x["type"]) for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.plain = (normal, split) == RULES
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.plain = (normal, split) == RULES and not any(c.isspace() for t in self.added for c in t)
         self.memo = Memo(self._words, 800_000)
 
     def _words(self, words: list[str]) -> list[bytes]:
@@ -70,7 +71,9 @@ class WordIds:
         if not text:
             return b""
         if self.plain and not ODD.search(text):
-            return b"".join(self.memo.many(WORD.findall(text.lower())))
+            low = text.lower()
+            if not any(t in low for t in self.added):
+                return b"".join(self.memo.many(WORD.findall(low)))
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 

@@ -78,6 +78,20 @@ def test_token_store(spark, texts):
     assert token_store.store(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_added_tokens(spark):
+    """As the library does it by itself."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(P.path(token_store.VOCAB))
+    more = {1: "a b <|endoftext|> c", 2: "<|startoftext|>x<|ENDOFTEXT|>", 3: "日本 <|endoftext|><|endoftext|>", 4: "plain < |endoftext| >"}
+    assert tok.encode(more[1], add_special_tokens=False).ids == [320, 321, 49407, 322]
+    start = 0
+    for r in sorted(token_store.store(frame(spark, more)).collect(), key=lambda r: r.doc_id):
+        ids = [*tok.encode(more[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_code_lengths():
     rng = random.Random(1)
     for n in (1, 2, 3, 100, 5000):
