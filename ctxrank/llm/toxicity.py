@@ -1,10 +1,10 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine (operator 10).
+"""Toxicity by nearest labelled examples under exact cosine of weighted TF-IDF (operator 10).
 
-Terms are lower-cased runs of letters. The vocabulary is the `terms` words most tied to the label by
-chi-squared over all training documents; TF-IDF over these, scaled to length 1, is a document's vector.
-`examples` labelled training rows (chosen by a hash of doc_id; a documented bound) form an inverted index in blocks of BLOCK examples with the largest weight of each term in each block.
-A query adds up the blocks' upper bounds, scores blocks from the highest bound on, and stops when no block
-left can reach its k-th best: the k nearest are exact. Votes are weighted by closeness; isotonic
+Terms are lower-cased runs of letters; all terms of the examples are the vocabulary. A term's weight is its TF-IDF, with
+the IDF over all training documents, times 1 + chi-squared / CHI2 if it goes with the label; scaled to length 1, these are a
+document's vector. Words that no example holds have no weight.
+`examples` labelled training rows (chosen by a hash of doc_id; a documented bound) form an inverted index. A query adds up
+the postings of all its terms, so that the k nearest are exact. Votes are weighted by closeness; isotonic
 regression over the examples' own leave-one-out votes turns them into scores.
 
 Defined results: a null, empty or word-less text has no neighbours and gets the base rate (as do all texts
@@ -15,9 +15,10 @@ are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, keyed_text, ship
 
-TERMS = 512
 EXAMPLES = 6000
-LEAST_CHI2 = 20.0
+CHI2 = 20.0
 NEIGHBOURS = 25
-BLOCK = 64
+#: A term that one in DENSE examples holds is added as a whole row.
+DENSE = 12
 PRIOR = 2.0
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -47,36 +48,29 @@ class Index:
     base: float
     doc_ids: np.ndarray
     labels: np.ndarray
-    pointers: np.ndarray  # (term, block) -> first posting
+    pointers: np.ndarray  # term -> first posting
     members: np.ndarray
     weights: np.ndarray
-    block_max: np.ndarray
     knots: tuple[np.ndarray, np.ndarray] | None = None
-
-    @property
-    def blocks(self) -> int:
-        return self.block_max.shape[1]
+    rows: dict[int, np.ndarray] = field(default_factory=dict)
 
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines, exactly; only examples that share a term."""
-        bound = w @ self.block_max[at]
-        order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(self.blocks * BLOCK)
-        best, done, step = 0.0, 0, 8
-        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= best - 1e-12:
-            take = order[done : done + step]
-            take = take[(bound[take] > 0) & (bound[take] >= best - 1e-12)]
-            for t, x in zip(at, w):
-                lo, hi = self.pointers[t, take], self.pointers[t, take + 1]
-                for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                    scores[self.members[a:b]] += x * self.weights[a:b]
-            if without >= 0:
-                scores[without] = 0
-            done += step
-            step *= 2
-            if np.count_nonzero(scores) >= k:
-                best = np.partition(scores, -k)[-k]
-        near = np.flatnonzero(scores)
+        n = len(self.labels)
+        scores = np.zeros(n)
+        for t, x in zip(at.tolist(), w.tolist()):
+            a, b = self.pointers[t], self.pointers[t + 1]
+            if (b - a) * DENSE < n:
+                scores[self.members[a:b]] += x * self.weights[a:b]
+            else:
+                if t not in self.rows:
+                    self.rows[t] = np.zeros(n)
+                    self.rows[t][self.members[a:b]] = self.weights[a:b]
+                scores += x * self.rows[t]
+        if without >= 0:
+            scores[without] = 0
+        least = np.partition(scores, -k)[-k] - 1e-8 if n > k else 0.0
+        near = np.flatnonzero((scores > 0) & (scores >= least))
         near = near[np.lexsort((near, -np.round(scores[near], 9)))][:k]
         return near, scores[near]
 
@@ -110,21 +104,21 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def build(vocab: dict[str, int], idf: np.ndarray, base: float, rows: list[tuple[int, int, Counter]]) -> Index:
     """rows: (doc_id, label, counts) of the examples."""
     rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    n = max(1, -(-len(rows) // BLOCK))
-    index = Index(vocab, idf, base, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), np.zeros((len(idf), n + 1), dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0), np.zeros((len(idf), n)))
-    posted = sorted((t, i, x) for i, r in enumerate(rows) for t, x in zip(*(v.tolist() for v in index.weigh(r[2]))) if x > 0)
-    terms, members, weights = (np.array(c) for c in zip(*posted)) if posted else (np.empty(0, dtype=np.int64),) * 3
-    index.members, index.weights = members.astype(np.int64), weights.astype(float)
-    at = np.searchsorted(terms * n * 1.0 + members // BLOCK, np.arange(len(idf) * n + 1))
-    index.pointers = np.stack([at[t * n : t * n + n + 1] for t in range(len(idf))])
-    np.maximum.at(index.block_max, (terms.astype(np.int64), index.members // BLOCK), index.weights)
+    index = Index(vocab, idf, base, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), np.zeros(len(idf) + 1, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+    units = [index.weigh(r[2]) for r in rows]
+    if rows:
+        terms, members, weights = np.concatenate([u[0] for u in units]), np.repeat(np.arange(len(rows)), [len(u[0]) for u in units]), np.concatenate([u[1] for u in units])
+        order = np.argsort(terms, kind="stable")
+        index.members, index.weights = members[order].astype(np.int32), weights[order].astype(float)
+        index.pointers = np.searchsorted(terms[order], np.arange(len(idf) + 1))
     if len(rows):
-        raw = [index.vote(*index.nearest(*index.weigh(r[2]), without=i)) for i, r in enumerate(rows)]
+        raw = [index.vote(*index.nearest(*u, without=i)) for i, u in enumerate(units)]
         index.knots = isotonic(np.array(raw), index.labels)
+        index.rows = {}  # made again where it is used
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, terms: int = TERMS, examples: int = EXAMPLES) -> Index | None:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, examples: int = EXAMPLES) -> Index | None:
     spark = docs.sparkSession
     ship(spark)
     labelled = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where(train & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -137,20 +131,28 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, terms: int = TERMS, e
     n, pos = F.lit(float(total.n)), F.lit(float(total.pos))
     a, df = F.col("pos").cast("double"), F.col("df").cast("double")
     chi2 = n * F.pow(a * n - df * pos, F.lit(2)) / (df * (n - df) * pos * (n - pos))
-    top = counted.where((df < n) & (df >= 5) & (a * n > df * pos)).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "word").limit(terms).collect() if 0 < total.pos < total.n else []
-    vocab = {r.word: i for i, r in enumerate(top)}
-    idf = np.array([np.log((1 + total.n) / (1 + r.df)) + 1 for r in top], dtype=float)
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1_000_000 * min(1.0, examples / total.n))  # `examples` rows, expected
     got = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
 
     def run(batches):
         for batch in batches:
-            out = [(i, y, sorted(features(text, vocab).elements())) for i, text, y in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "toxic")))]
+            out = [(i, y, WORD.findall(text.lower())) for i, text, y in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "toxic")))]
             cols = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.int32())))], ["doc_id", "toxic", "terms"])
-
-    rows = [(r["doc_id"], r["toxic"], Counter(r["terms"])) for r in got.mapInArrow(run, "doc_id bigint, toxic int, terms array<int>").toArrow().to_pylist()]
-    return build(vocab, idf, total.pos / total.n, rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.string())))], ["doc_id", "toxic", "words"])
+
+    held = got.mapInArrow(run, "doc_id bigint, toxic int, words array<string>").toArrow()
+    held = [(i, y, Counter(w)) for i, y, w in zip(*(held.column(k).to_pylist() for k in ("doc_id", "toxic", "words")))]
+    in_examples = Counter(w for r in held for w in r[2]) if 0 < total.pos < total.n else Counter()
+    vocab = {w: i for i, w in enumerate(sorted(in_examples))}
+    weights = np.array([np.log((1 + total.n) / (1 + min(in_examples[w], total.n))) + 1 for w in vocab], dtype=float)
+    if vocab:
+        wanted = F.broadcast(spark.createDataFrame(pa.table({"word": list(vocab)})))
+        tied = (df < n) & (a * n > df * pos)
+        known = counted.join(wanted, "word", "left_semi").select("word", F.least(df, n).alias("df"), F.when(tied, chi2).otherwise(0.0).alias("chi2")).toArrow()
+        for w, d, x in zip(*(known.column(k).to_pylist() for k in ("word", "df", "chi2"))):
+            weights[vocab[w]] = (np.log((1 + total.n) / (1 + d)) + 1) * (1 + x / CHI2)
+    rows = [(i, y, Counter({vocab[w]: c for w, c in words.items() if w in vocab})) for i, y, words in held]
+    return build(vocab, weights, total.pos / total.n, rows)
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3) -> DataFrame:
@@ -168,12 +170,12 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, th
                     scores.append(0.0)
                     evidence.append([])
                     continue
-                found = features(text.as_py(), index.vocab)
-                key = tuple(sorted(found.items()))
+                text = text.as_py()
+                key = hashlib.blake2b(text.encode(), digest_size=16).digest()
                 if key not in known:
                     if len(known) > 50_000:
                         known.clear()
-                    near, sims = index.nearest(*index.weigh(found))
+                    near, sims = index.nearest(*index.weigh(features(text, index.vocab)))
                     known[key] = index.score(index.vote(near, sims)), [{"doc_id": int(index.doc_ids[i]), "similarity": float(s), "toxic": int(index.labels[i])} for i, s in zip(near[:5], sims)]
                 scores.append(known[key][0])
                 evidence.append(known[key][1])

@@ -275,6 +275,16 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(frame(spark, texts), labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_rare_words(spark):
+    """Cue words in fewer than five labelled rows, and words without a tie to the label, take part too."""
+    texts = {i: f"plain{'abcdefgh'[i % 8]} " * 3 + ("vile" if i % 7 == 0 else "") for i in range(210)}
+    texts |= {300: "rarecue seldom", 301: "rarecue seldom", 302: "rarecue seldom", 303: "rarecue"}
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(210)] + [(i, 1) for i in (300, 301, 302)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(frame(spark, texts), labels, F.col("doc_id") == 303).collect()}
+    assert got[303].predicted == 1 and {e.doc_id for e in got[303].evidence} == {300, 301, 302}
+    assert got[1].predicted == 0 and got[1].evidence and got[7].predicted == 1
+
+
 def test_nearest_is_exact():
     rng = random.Random(6)
     vocab = {f"t{i}": i for i in range(30)}
