@@ -32,15 +32,37 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts lineage and survives lost executors.
 
-    The files go when the session ends.
+    The files go with free(), at the latest when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ctxrank-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    target, system = _file(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._ctxrank_path = path
+    return out
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_ctxrank_path", None):
+            target, system = _file(df.sparkSession, path)
+            system.delete(target, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 @contextlib.contextmanager
@@ -92,18 +114,19 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     graph = materialize(graph.union(graph.select("v", "u")).distinct(), "edges")
     merged = None
     for _ in range(rounds):
-        near = graph.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("near"))
-        near = materialize(near, "near")
+        near = materialize(graph.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("near")), "near")
         step = near.join(near.select(F.col("u").alias("near"), F.col("near").alias("far")), "near").select("u", F.col("far").alias("to"))
         step = materialize(step, "labels")
+        old = merged, graph
         if merged is None:
-            merged = step.select(F.col("u").alias("id"), F.col("to").alias("label"))
+            merged = materialize(step.select(F.col("u").alias("id"), F.col("to").alias("label")), "merged")
         else:
-            merged = merged.join(step.select(F.col("u").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-        merged = materialize(merged, "merged")
+            merged = materialize(merged.join(step.select(F.col("u").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label")), "merged")
         graph = graph.join(step, "u").select(F.col("to").alias("u"), "v").join(step.select(F.col("u").alias("v"), F.col("to").alias("w")), "v").select("u", F.col("w").alias("v"))
         graph = materialize(graph.where("u <> v").distinct(), "edges")
-        if not graph.limit(1).count():
+        free(near, step, *[t for t in old if t is not None])
+        if graph.isEmpty():
+            free(graph)
             break
     else:
         raise RuntimeError("components did not settle")

@@ -3,21 +3,20 @@
 A document's set holds the hashes (64 bits) of its distinct five-word shingles. Documents with equal sets are one
 class, named by a 64-bit hash of the set. All sets follow one global order: shingles that are frequent
 (HOT_LIST at most, from counts over all documents) come last, the rarer ones first among these; the others go by hash. Two sets
-with a Jaccard similarity of at least 3/4 share one of their first n - ceil(3n/4) + 1 shingles, whatever the
-order.
-
-1. These prefix entries meet by shingle. In each group the members are paired with one of them, the least class
-   (groups of frequent shingles are salted, and their parts' least classes paired as well). Pairs that sizes or
-   places in the order rule out go.
-2. Bitmaps of the sets (one hash bit for each shingle, two bits at most a shingle in all) bound the sets' difference from
-   below; pairs whose bound is too large go. The others are verified: the partners of a class stand in a trie of globally ordered sets, walked in order so that
-   partners share the overlap of what they have in common; branches whose remaining length cannot reach the bound are cut.
-3. Verified pairs give components. Large groups with members in different components are paired with a few of these at a
-   time while that links any; what is then still in different components is compared in full, so that no link
-   between components is lost, while no pair inside a component is made. Two classes come out of the first shingle that
-   they share only (as far as HEADS shingles tell), where their overlap has all its length before it, and only if
-   small bitmaps of their sets do not rule them out. These comparisons are in the join's condition: their number
-   still is that of the pairs in a group that lie in different components.
+with a Jaccard similarity of at least 3/4 share one of their first n - ceil(3n/4) + 1 shingles, whatever the order.
+
+1. These prefix entries are the roots under which sets meet: a shuffle deals them out by shingle, and shingles that
+   only one class has in its prefix go.
+2. Each class goes to the branch of the least class that it meets; the tries there link most copies.
+3. Roots whose classes lie in several components stay. Small ones (BRANCH classes at most) give the pairs of classes that sizes and
+   places in the order allow, and these meet under one root each; large ones go to their branches whole, blocks of
+   BLOCK classes against each other.
+4. A branch is a trie of its sets in the global order. It is walked once for all probes together: partners below a node share
+   the overlap with its path, and probes leave where the remaining lengths, or an earlier shared shingle (then another
+   root finds the pair), rule out all sets below. Walks leave out pairs that are connected already and give a spanning
+   forest of the links, so that a group of any number of copies gives as many rows as members at most.
+
+The number of comparisons under a large root is quadratic in its classes that stay in different components.
 
 Defined results: null texts, empty ones and those without words have no shingles and link with nothing; repeated rows are
 rows of the result, with one component; with null doc_ids the component is the least other id or null; an empty table
@@ -26,6 +25,8 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,53 +34,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, keyed_text, materialize, ship, small_batches
-from .shingles import shingle_hashes, word_hashes
+from .common import components, free, fresh, keyed_text, materialize, ship, small_batches
+from .shingles import shingles_of
 
 HOT_LIST = 1 << 18
 #: A shingle is frequent from this many occurrences on in any CHUNK shingles that a task has read.
 HOT_LOCAL, HOT_TOTAL, CHUNK = 4, 16, 1 << 21
-#: Groups over this size are paired with REPS members at a time, ROUNDS times at most, before they are paired in full.
-GROUP, REPS, ROUNDS = 16, 4, 3
+#: Classes of so many copies on, HOT_LIST at most, are entered from one document only; others may be from several.
+COPIES = 16
 SALTS = 32
-#: Longs of a set's fixed-size bitmap, compared where pairs are made; shingles of a class kept to tell where two classes met first.
-SKETCH, HEADS = 8, 16
-PARTNERS = 64
+#: Roots over this number of classes are walked whole, in blocks.
+BRANCH, BLOCK = 64, 512
 #: Ids of documents to verify are broadcast up to this number (8 MB), beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Shingles of a path that a walk takes before it looks at the bounds again.
+STRIDE = 32
 
 
-def shingle_set(text: str) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(text)))
-
-
-def set_key(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-
-
-def bitmap(s: np.ndarray) -> bytes:
-    """Bits at the leading digits of the hashes; dropping a digit joins neighbouring bits."""
-    size = max(6, (len(s) - 1).bit_length()) if len(s) else 6
-    out = np.zeros(1 << size, dtype=np.uint8)
-    out[(s >> np.uint64(64 - size)).astype(np.int64)] = 1
-    return np.packbits(out).tobytes()
+def distinct(s: np.ndarray) -> np.ndarray:
+    """Ascending, without repeats."""
+    s = np.sort(s)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """SKETCH longs: a bitmap by the leading digits of the hashes, of one size for all sets."""
-    out = np.zeros(64 * SKETCH, dtype=np.uint8)
-    out[(s >> np.uint64(64 - (64 * SKETCH - 1).bit_length())).astype(np.int64)] = 1
-    return np.packbits(out).tobytes()
+def sets_in(column: pa.Array) -> Iterator[np.ndarray]:
+    for _, s in shingles_of(column):
+        yield distinct(s)
 
 
-def differences(a: bytes, b: bytes) -> int:
-    """At least so many shingles are in one set only."""
-    x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b))
-    while len(x) > len(y):
-        x = x[::2] | x[1::2]
-    while len(y) > len(x):
-        y = y[::2] | y[1::2]
-    return int(np.count_nonzero(x != y))
+def set_key(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
 def needed(n: int) -> int:
@@ -93,13 +77,17 @@ class Order:
     def __init__(self, hot: np.ndarray):
         self.by_hash = np.argsort(hot)
         self.hot = hot[self.by_hash]
+        self.seen = np.zeros(1 << 20, dtype=bool)  # of the leading bits; most shingles end here
+        self.seen[self.hot >> np.uint64(44)] = True
 
     def ranks(self, s: np.ndarray) -> np.ndarray:
         """Place in hot, or -1."""
-        if not len(self.hot):
-            return np.full(len(s), -1)
-        at = np.minimum(np.searchsorted(self.hot, s), len(self.hot) - 1)
-        return np.where(self.hot[at] == s, self.by_hash[at], -1)
+        out = np.full(len(s), -1, dtype=np.int64)
+        if len(self.hot):
+            maybe = np.flatnonzero(self.seen[s >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.hot, s[maybe]), len(self.hot) - 1)
+            out[maybe] = np.where(self.hot[at] == s[maybe], self.by_hash[at], -1)
+        return out
 
     def arrange(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """s (ascending) in the global order, and the ranks."""
@@ -111,26 +99,25 @@ class Order:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Written table: kind 0 (doc_id, n, key, bits, sketch) of each document; kind 1 (key: a shingle, n: its count) of frequent ones."""
+    """Written table: kind 0 (doc_id, n, key) of each document; kind 1 (key: a shingle, n: its count) of frequent ones."""
 
     def run(batches):
         seen, held, size = set(), [], 0
 
         def counted():
-            values, n = np.unique(np.concatenate(held), return_counts=True)
+            values = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            n = np.diff(np.append(first, len(values)))
             often = n >= HOT_LOCAL
-            values, n = values[often].astype(np.int64), n[often]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(values), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.list_(pa.int64()))], ["kind", "doc_id", "n", "key", "bits", "sketch"])
+            values, n = values[first[often]].view(np.int64), n[often]
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(values)], ["kind", "doc_id", "n", "key"])
 
         for batch in batches:
-            sizes, keys, bits, small = [], [], [], []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py())
+            sizes, keys = [], []
+            for s in sets_in(batch.column("text")):
                 key = set_key(s)
                 sizes.append(len(s))
                 keys.append(key)
-                bits.append(bitmap(s))
-                small.append(np.frombuffer(sketch(s), dtype=np.int64))
                 if key not in seen and len(s):
                     seen.add(key)
                     held.append(s)
@@ -138,248 +125,261 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     if size >= CHUNK:
                         yield counted()
                         seen, held, size = set(), [], 0
-            rows = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(rows, dtype=np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.array(small, pa.list_(pa.int64()))], ["kind", "doc_id", "n", "key", "bits", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), dtype=np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["kind", "doc_id", "n", "key"])
         if held:
             yield counted()
 
-    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint, bits binary, sketch array<bigint>"), "sets")
+    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint"), "sets")
 
 
 def hot_shingles(table: DataFrame, most: int = HOT_LIST) -> np.ndarray:
     """At most `most` frequent shingles, rarest first; any list is right for the join, a good one keeps groups small."""
-    rows = table.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL).orderBy(F.desc("n"), "key").limit(most).toArrow().to_pandas()
-    return rows.key.to_numpy(dtype=np.int64).astype(np.uint64)[::-1]
+    rows = table.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_TOTAL).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    return rows.column("key").to_numpy().view(np.uint64)[::-1]
 
 
-def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(h, key, n, at, hot) of the prefix entries of each document's set."""
+def hot_classes(table: DataFrame, most: int = HOT_LIST) -> dict[int, int | None]:
+    """key -> doc_id of the one document that enters for a class of many copies; at most `most`, any choice is right."""
+    rows = table.where("kind = 0 and n > 0").groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id")).where(F.col("copies") >= COPIES).orderBy(F.desc("copies"), "key").limit(most).toArrow()
+    return dict(zip(rows.column("key").to_pylist(), rows.column("doc_id").to_pylist()))
+
+
+def prefixes(docs: DataFrame, hot: np.ndarray, copied: dict[int, int | None]) -> DataFrame:
+    """(h, key, n, at, hot) of the prefix entries of each class, from one document or a few."""
 
     def run(batches):
-        order = Order(hot)
+        order, seen = Order(hot), set()
         for batch in batches:
-            seen, cols = set(), []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py())
-                key = set_key(s)
-                if not len(s) or key in seen:
+            cols = []
+            for doc_id, s in zip(batch.column("doc_id").to_pylist(), sets_in(batch.column("text"))):
+                n = len(s)
+                if not n or (key := set_key(s)) in seen or key in copied and copied[key] != doc_id:
                     continue
+                if len(seen) > 200_000:
+                    seen.clear()
                 seen.add(key)
-                n = len(s)
                 p = n - needed(n) + 1
-                s, rank = order.arrange(s)
-                cols.append((s[:p], np.full(p, key), np.full(p, n), np.arange(p), rank[:p] >= 0))
+                rank = order.ranks(s)
+                plain = np.flatnonzero(rank < 0)[:p]
+                if len(plain) < p:
+                    late = np.flatnonzero(rank >= 0)
+                    plain = np.concatenate([plain, late[np.argsort(rank[late])][: p - len(plain)]])
+                cols.append((s[plain], np.full(p, key), np.full(p, n, dtype=np.int32), np.arange(p, dtype=np.int32), rank[plain] >= 0))
             if cols:
-                h, key, n, at, late = (np.concatenate(c) for c in zip(*cols))
-                yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(key), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(late)], ["h", "key", "n", "at", "hot"])
+                h, *rest = (np.concatenate(c) for c in zip(*cols))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, rest)], ["h", "key", "n", "at", "hot"])
 
     return docs.mapInArrow(run, "h bigint, key bigint, n int, at int, hot boolean")
 
 
 def possible(n1, at1, n2, at2):
-    """Whether sizes and places in the order leave room for the needed overlap of two sets."""
-    small, large = F.least(n1, n2), F.greatest(n1, n2)
-    room = F.least(at1, at2) + 1 + F.least(n1 - at1, n2 - at2) - 1
-    return (4 * small >= 3 * large) & (7 * room >= 3 * (n1 + n2))
+    """Whether two sets may be linked and share no shingle before these places in the order."""
+    return (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * F.least(n1 - at1, n2 - at2) >= 3 * (n1 + n2))
 
 
-def overlaps(probe: np.ndarray, partners: list[np.ndarray], order: Order) -> list[int]:
-    """Overlap of the probe with each partner, or -1 where it cannot reach Jaccard 3/4.
+def walk(sets: list[np.ndarray], labels: list[int], order: Order, root: int | None = None) -> list[tuple[int, int]]:
+    """Places (i, j) of a spanning forest of the links (Jaccard 3/4 or more) between sets of different labels.
 
-    Partners are sorted as sequences in the global order: neighbours share a path of the trie, and with it the
-    overlap so far. A path whose rest cannot reach the bound cuts all partners below it that are not longer.
+    sets are ascending; equal labels count as connected. With a root (a shingle), pairs that share a shingle before
+    it in the order may be left out.
     """
-    rows = []
-    for i, s in enumerate(partners):
-        s, _ = order.arrange(s)
-        rows.append((s.astype(">u8").tobytes(), i, s))
-    rows.sort(key=lambda r: r[0])
-    out, last, shared_sum, cut_at, cut_n = [-1] * len(partners), None, np.zeros(1, dtype=np.int64), None, 0
-    m = len(probe)
-    for _, i, s in rows:
-        n = len(s)
-        same = 0
-        if last is not None:
-            k = min(len(last), n)
-            differ = np.flatnonzero(last[:k] != s[:k])
-            same = int(differ[0]) if len(differ) else k
-        if cut_at is not None and same >= cut_at and n <= cut_n:
-            continue  # below a cut branch; `last` stays, so that same still counts from it
-        cut_at = None
-        need = -(-3 * (m + n) // 7)
-        sums = np.concatenate([shared_sum[: same + 1], np.zeros(n - same, dtype=np.int64)])
-        at = same
-        while at < n:
-            if sums[at] + min(n - at, m - sums[at]) < need:
-                cut_at, cut_n = at, n
+    m = len(sets)
+    every = np.sort(np.concatenate(sets)) if m else np.empty(0, dtype=np.uint64)
+    again = np.flatnonzero(every[1:] == every[:-1])
+    alphabet = distinct(every[again])  # shingles that several sets have; all others add to lengths only
+    alphabet, rank = order.arrange(alphabet)
+    place = np.argsort(alphabet)
+    by_hash = alphabet[place]
+    paths, rows = [], np.zeros((len(alphabet), m), dtype=np.int32)
+    for i, s in enumerate(sets):
+        at = np.minimum(np.searchsorted(by_hash, s), max(len(by_hash) - 1, 0))
+        path = np.sort(place[at[by_hash[at] == s]]) if len(by_hash) else np.empty(0, dtype=np.int64)
+        paths.append(path)
+    by_path = sorted(range(m), key=lambda i: paths[i].astype(">u4").tobytes())
+    paths = [paths[i] for i in by_path]
+    n = np.array([len(sets[i]) for i in by_path])
+    label = np.array([labels[i] for i in by_path])
+    rest = np.array([len(p) for p in paths])  # of each probe, shared shingles in all
+    for i, p in enumerate(paths):
+        rows[p, i] = 1
+    start = -1
+    if root is not None and len(found := np.flatnonzero(alphabet == np.uint64(root))):
+        start = int(found[0])
+    out: list[tuple[int, int]] = []
+    # A node: sets lo..hi-1 share `depth` places; the probes that are left, and their overlap with the path.
+    stack = [(0, m, 0, np.arange(1, m), np.zeros(max(m - 1, 0), dtype=np.int64))]
+    while stack:
+        lo, hi, depth, probes, shared = stack.pop()
+        probes, shared = (x[probes > lo] for x in (probes, shared))
+        own = label[lo:hi]
+        if (own == own[0]).all():
+            keep = label[probes] != own[0]
+            probes, shared = probes[keep], shared[keep]
+        if not len(probes):
+            continue
+        first, last = paths[lo], paths[hi - 1]
+        k = min(len(first), len(last))
+        differ = np.flatnonzero(first[depth:k] != last[depth:k])
+        end = depth + int(differ[0]) if len(differ) else k
+        least, most, longest = int(n[lo:hi].min()), int(n[lo:hi].max()), int(rest[lo:hi].max())
+        at = depth
+        while True:
+            size = n[probes]
+            need = -(-3 * (np.maximum(least, needed_of(size)) + size) // 7)
+            keep = (4 * size >= 3 * least) & (4 * most >= 3 * size) & (shared + np.minimum(longest - at, rest[probes] - shared) >= need)
+            probes, shared = probes[keep], shared[keep]
+            if at >= end or not len(probes):
                 break
-            stop = min(n, at + 64)
-            part = s[at:stop]
-            place = np.minimum(np.searchsorted(probe, part), m - 1)
-            sums[at + 1 : stop + 1] = sums[at] + np.cumsum(probe[place] == part)
+            stop = min(end, at + STRIDE)
+            if start >= 0:  # at the root nothing may be shared so far
+                before = int(np.searchsorted(first[at:stop], start))
+                if at + before < stop and first[at + before] == start:
+                    keep = shared + rows[np.ix_(first[at : at + before], probes)].sum(axis=0) == 0
+                    probes, shared = probes[keep], shared[keep]
+            shared = shared + rows[np.ix_(first[at:stop], probes)].sum(axis=0)
             at = stop
-        last, shared_sum = s[:at], sums[: at + 1]
-        if cut_at is None and sums[n] >= need:
-            out[i] = int(sums[n])
+        if not len(probes):
+            continue
+        if hi - lo == 1:
+            near = probes[7 * shared >= 3 * (n[lo] + n[probes])]
+            for x in near.tolist():
+                if label[x] != label[lo]:
+                    out.append((by_path[lo], by_path[x]))
+                    label[label == label[x]] = label[lo]
+            continue
+        a = lo
+        nexts = [int(paths[i][end]) if len(paths[i]) > end else -1 for i in range(lo, hi)]
+        parts = []
+        for b in range(lo + 1, hi + 1):
+            if b == hi or nexts[b - lo] != nexts[a - lo] or nexts[a - lo] < 0:
+                parts.append((a, b, end, probes, shared))
+                a = b
+        stack += reversed(parts)
     return out
 
 
-def near(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose bitmaps do not rule Jaccard 3/4 out: written."""
-    one = table.where("kind = 0 and n > 0").select("key", "n", "bits").dropDuplicates(["key"])
-    side = lambda x: one.select(F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+def needed_of(size: np.ndarray) -> np.ndarray:
+    """The least size of a partner."""
+    return (3 * size + 3) // 4
 
-    def run(batches):
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("na", "sa", "nb", "sb")]
-            kept = pa.array([7 * differences(sa, sb) <= na + nb for na, sa, nb, sb in zip(*cols)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(kept)
 
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a bigint, b bigint"), "near")
-
-
-def verified(pairs: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """The pairs (a < b) of classes whose Jaccard similarity is at least 3/4, with the overlap: written."""
-    pairs = near(pairs, table)
+def linked(branches: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Written: links (a, b) that the walks of branches (branch, root, key, label) find; a branch fits into a task."""
+    spark = docs.sparkSession
+    branches = materialize(branches, "branches")
     one = table.where("kind = 0 and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct()
-    wanted = materialize(one.join(wanted, "key", "left_semi").where("doc_id is not null").select("doc_id"), "wanted_ids")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = materialize(one.join(branches.select("key").distinct(), "key", "left_semi").where("doc_id is not null").select("doc_id"), "wanted")
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def sets(batches):
         for batch in batches:
-            texts = [shingle_set(x.as_py()) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in texts], pa.int64()), pa.array([s.tobytes() for s in texts], pa.binary())], ["key", "s"])
+            got = list(sets_in(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["key", "s"])
 
-    found = docs.join(wanted, "doc_id", "left_semi").select("text").mapInArrow(sets, "key bigint, s binary").dropDuplicates(["key"])
-    found = materialize(found, "wanted")
-    both = pairs.join(found.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b").join(found.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
+    found = materialize(docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "key bigint, s binary").dropDuplicates(["key"]), "sets")
 
-    def check(batches):
-        order, held, probe = Order(hot), [], None
+    def run(batches):
+        order, held, at = Order(hot), [], None
 
-        def walk():
-            got = overlaps(np.frombuffer(probe[1], dtype=np.uint64), [np.frombuffer(x, dtype=np.uint64) for _, x in held], order)
-            kept = [(b, o) for (b, _), o in zip(held, got) if o >= 0]
+        def links():
+            rows = {key: (label, np.frombuffer(s, dtype=np.uint64)) for key, label, s in held}
+            keys, root = list(rows), None if at[1] is None else at[1] % (1 << 64)
+            got = walk([rows[k][1] for k in keys], [rows[k][0] for k in keys], order, root) if len(keys) > 1 else []
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([probe[0]] * len(kept), pa.int64()), pa.array([b for b, _ in kept], pa.int64()), pa.array([o for _, o in kept], pa.int64())], ["a", "b", "shared"])
+            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in got], pa.int64()), pa.array([keys[j] for _, j in got], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for a, sa, b, sb in zip(*(batch.column(c).to_pylist() for c in ("a", "sa", "b", "sb"))):
-                if held and (probe[0] != a or len(held) >= PARTNERS):
-                    yield walk()
-                probe = (a, sa)
-                held.append((b, sb))
+            for branch, root, key, label, s in zip(*(batch.column(c).to_pylist() for c in ("branch", "root", "key", "label", "s"))):
+                if held and at[0] != branch:
+                    yield links()
+                at = branch, root
+                held.append((key, label, s))
         if held:
-            yield walk()
+            yield links()
 
-    with small_batches(docs.sparkSession):
-        return materialize(both.select("a", "sa", "b", "sb").mapInArrow(check, "a bigint, b bigint, shared bigint"), "links")
+    with small_batches(spark, 64):
+        rows = branches.join(found, "key").select("branch", "root", "key", "label", "s").repartition("branch").sortWithinPartitions("branch")
+        links = materialize(rows.mapInArrow(run, "a bigint, b bigint"), "links")
+    free(branches, wanted, found)
+    return links
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     docs = keyed_text(docs, id_col, text_col)
     ship(docs.sparkSession)
-    with small_batches(docs.sparkSession, 1024):
+    with small_batches(docs.sparkSession, 512):
         return joined(docs)
 
 
 def joined(docs: DataFrame) -> DataFrame:
     table = sets_of(docs)
     hot = hot_shingles(table)
-    entries = prefixes(docs, hot).withColumn("salt", F.when(F.col("hot"), F.pmod("key", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
+    entries = prefixes(docs, hot, hot_classes(table)).withColumn("salt", F.when(F.col("hot"), F.pmod("key", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     part = Window.partitionBy("h", "salt")
-    least = F.min(F.struct("key", "n", "at")).over(part).alias("rep")
-    # Only shingles that several classes share go on.
-    met = entries.select("h", "salt", "key", "n", "at", "hot", least, F.max("key").over(part).alias("top"))
-    met = materialize(met.where(F.col("hot") | (F.col("top") > F.col("rep.key"))).drop("top").distinct(), "met")
-    star = met.select(F.col("key").alias("a"), F.col("rep.key").alias("b"), possible(F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at")).alias("ok")).where("ok and a <> b").select("a", "b")
-    heads = met.where("hot").select("h", "rep.key", "rep.n", "rep.at").distinct()
-    first = heads.groupBy("h").agg(F.min(F.struct("key", "n", "at")).alias("rep"))
-    over = heads.join(first, "h").where(possible(F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at"))).select(F.col("key").alias("a"), F.col("rep.key").alias("b"))
-    tried = materialize(star.union(over).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "tried")
-    links = verified(tried, table, docs, hot)
-    classes = met.select(F.col("key").alias("id")).distinct()
-    label = materialize(components(classes, links), "components")
-    groups = materialize(met.select("h", "key", "n", "at").distinct(), "groups")
-    for k in range(ROUNDS):
-        parts = apart(groups, label, table)
-        groups = parts.select("h", "key", "n", "at")  # groups in one component stay in one
-        pairs = materialize(with_some(parts, k).join(tried, ["a", "b"], "left_anti"), "pairs")
-        new = verified(pairs, table, docs, hot)
-        if not new.limit(1).count():
-            break
-        tried = tried.union(pairs)
-        label = joined_up(label, new)
-    else:
-        parts = apart(groups, label, table)
-    pairs = materialize(with_all(parts).join(tried, ["a", "b"], "left_anti"), "pairs")
-    label = joined_up(label, verified(pairs, table, docs, hot))
-    return results(table, label)
-
-
-def joined_up(label: DataFrame, links: DataFrame) -> DataFrame:
-    """Written: label with the components that further links (a, b) connect made one."""
-    ends = links.select("a", "b")
-    for x in ("a", "b"):
-        ends = ends.join(label.select(F.col("id").alias(x), F.col("component_id").alias(f"c{x}")), x)
-    old = label.select(F.col("component_id").alias("id")).distinct()
-    new = components(old, materialize(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bridges"))
-    new = new.select(F.col("id").alias("component_id"), F.col("component_id").alias("to"))
-    return materialize(label.join(new, "component_id").select("id", F.col("to").alias("component_id")), "components")
-
-
-def apart(groups: DataFrame, label: DataFrame, table: DataFrame) -> DataFrame:
-    """Written: the groups that have members in several components, with the components, sketches and first shingles."""
-    parts = groups.join(label.withColumnRenamed("id", "key"), "key")
-    several = parts.groupBy("h").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
-    parts = materialize(parts.join(several, "h"), "apart")
-    # A class has as many rows here as its prefix has entries at most.
-    heads = parts.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "h"))), 1, HEADS).alias("heads"))
-    small = table.where("kind = 0 and n > 0").select("key", "sketch").dropDuplicates(["key"])
-    return parts.join(heads.join(small, "key"), "key").withColumn("before", F.expr("transform(filter(heads, x -> x.at < at), x -> x.h)")).drop("heads")
-
-
-def first_met(x: str, y: str):
-    """Whether two members of a group may be linked, and shared no shingle (of the first HEADS) before this one."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    n1, n2 = c(x, "n"), c(y, "n")
-    rest = F.least(n1 - c(x, "at"), n2 - c(y, "at"))  # the overlap, if this is the first shared shingle
-    apart = sum((F.bit_count(c(x, "sketch")[i].bitwiseXOR(c(y, "sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    return (c(x, "component_id") != c(y, "component_id")) & (4 * F.least(n1, n2) >= 3 * F.greatest(n1, n2)) & (7 * rest >= 3 * (n1 + n2)) & (7 * apart <= n1 + n2) & ~F.arrays_overlap(c(x, "before"), c(y, "before"))
+    by_key = part.orderBy("key")
+    # Only shingles that several classes share go on; a frequent one's parts meet again by h.
+    met = entries.select("*", F.lag("key").over(by_key).alias("before"), F.min(F.struct("key", "n", "at")).over(part).alias("rep"), F.max("key").over(part).alias("top"))
+    met = met.where("(before is null or before <> key) and (hot or top > rep.key)")
+    met = materialize(met.select("h", "key", "n", "at", "rep"), "met")
+    star = met.where((F.col("key") != F.col("rep.key")) & possible(F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at")))
+    star = star.groupBy("key").agg(F.min("rep.key").alias("rep"))
+    links = linked(stars(star), table, docs, hot)
+    label = labels(links)
+    links = links.union(linked(materialize(roots(met, label), "roots"), table, docs, hot))
+    out = results(table, labels(links))
+    free(met, label)
+    return out
 
 
-def ordered(a: str, b: str) -> list:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def stars(star: DataFrame) -> DataFrame:
+    """Branches of classes (key) with the class rep that they meet, BLOCK of them at most in expectation."""
+    many = star.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = star.join(many, "rep").withColumn("branch", F.xxhash64("rep", F.pmod(F.xxhash64("key"), "blocks")))
+    rows = rows.select("branch", "key").union(rows.select("branch", F.col("rep").alias("key"))).distinct()
+    return rows.select("branch", F.lit(None).cast("bigint").alias("root"), "key", F.col("key").alias("label"))
 
 
-def with_some(parts: DataFrame, k: int) -> DataFrame:
-    """(a, b): members of large groups with REPS of them, those with the least hashes of round k, if in other components."""
-    member = F.struct("key", "n", "at", "component_id", "sketch", "before")
-    least = [F.min(F.struct(F.xxhash64("key", F.lit(k * REPS + i)), member.alias("x"))).alias(f"r{i}") for i in range(REPS)]
-    reps = parts.where(F.col("m") > GROUP).groupBy("h").agg(*least)
-    reps = reps.select(F.col("h").alias("rh"), F.explode(F.array_distinct(F.array(*[F.col(f"r{i}.x") for i in range(REPS)]))).alias("r"))
-    met = parts.alias("x").join(reps, (F.col("x.h") == F.col("rh")) & first_met("x", "r"))
-    return met.select(*ordered("x.key", "r.key")).distinct()
+def labels(links: DataFrame) -> DataFrame:
+    """Written: (key, component) of the classes with a link."""
+    ends = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
+    return materialize(components(ends, links).select(F.col("id").alias("key"), F.col("component_id").alias("component")), "components")
 
 
-def with_all(parts: DataFrame) -> DataFrame:
-    """(a, b): all pairs of members in different components that the sketches leave."""
-    met = parts.alias("x").join(parts.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & first_met("x", "y"))
-    return met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+def roots(met: DataFrame, label: DataFrame) -> DataFrame:
+    """Branches of the classes that meet under a root and may still link components."""
+    parts = met.join(label, "key", "left").select("h", "key", "n", "at", F.coalesce("component", "key").alias("label"))
+    parts = materialize(parts, "parts")
+    several = parts.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
+    parts = materialize(parts.join(several, "h"), "apart")
+    small = parts.where(F.col("m") <= BRANCH).select("h", "key", "n", "at", "label")
+    x, y = small.alias("x"), small.alias("y")
+    may = (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    # A pair meets under the root where it has the fewest shingles before.
+    pairs = x.join(y, may).groupBy("x.key", "x.label", "y.key", "y.label").agg(F.min(F.struct((F.col("x.at") + F.col("y.at")).alias("at"), F.col("x.h").alias("h"))).alias("r"))
+    pairs = materialize(pairs.toDF("a", "la", "b", "lb", "r"), "pairs")
+    side = lambda k, l: pairs.select(F.xxhash64("r.h").alias("branch"), F.lit(None).cast("bigint").alias("root"), F.col(k).alias("key"), F.col(l).alias("label"))
+    few = side("a", "la").union(side("b", "lb")).distinct()
+    large = parts.where(F.col("m") > BRANCH).withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    large = large.select("h", "key", "label", "block", other.alias("other"))
+    large = large.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("branch"), F.col("h").alias("root"), "key", "label")
+    return few.union(large)
 
 
 def results(table: DataFrame, label: DataFrame) -> DataFrame:
     rows = table.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
-    firsts = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(label.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component_id", "key"))
+    firsts = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = firsts.groupBy("component").agg(F.min("least").alias("component_id"))
     by_class = firsts.select("key", "component").join(least, "component").select("key", "component_id")
-    return rows.join(by_class, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return materialize(rows.join(by_class, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "joined")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component, the one with the least doc_id; rows that repeat a doc_id become one."""
-    kept = join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    """docs with one document of each component, the one with the least doc_id; rows that repeat a doc_id and text become one.
+
+    Rows with a null doc_id stay if nothing else tells their component: they are kept by their texts.
+    """
+    mark = fresh(docs, "kept")
+    kept = join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(mark)), "left_semi").dropDuplicates(["doc_id", "text"])

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -15,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ctxrank.llm import bpe, decontaminate, fingerprint, html_text, langid, ngram_join, queries, secrets, substring_dedup, token_store, toxicity
+from ctxrank.llm import bpe, decontaminate, fingerprint, html_text, langid, ngram_join, queries, secrets, shingles, substring_dedup, token_store, toxicity
 from ctxrank.llm.common import components
 
 DATA = "/root/testdata/sf0.001"
@@ -164,15 +165,69 @@ def test_ngram_join(spark, texts):
     assert sorted(kept) == sorted({c for _, c in got.values()})
 
 
-def test_trie_overlaps():
+def test_trie_walk():
+    """Components of the walk's links are those of all pairs, whatever the order, the labels and the root."""
     rng = np.random.default_rng(5)
-    pool = np.unique(rng.integers(0, 1 << 60, 300).astype(np.uint64))
-    order = ngram_join.Order(pool[rng.permutation(len(pool))[:40]])
-    probe = np.sort(rng.choice(pool, 100, replace=False))
-    partners = [np.sort(np.concatenate([rng.choice(probe, k, replace=False), np.unique(rng.choice(pool[~np.isin(pool, probe)], 100 - k, replace=False))])) for k in rng.integers(60, 100, 50)] + [probe]
-    for s, got in zip(partners, ngram_join.overlaps(probe, partners, order)):
-        shared = len(np.intersect1d(probe, s))
-        assert got == (shared if 4 * shared >= 3 * (len(probe) + len(s) - shared) else -1)
+    for case in range(40):
+        pool = np.unique(rng.integers(0, 1 << 63, 160).astype(np.uint64) * np.uint64(2))
+        order = ngram_join.Order(pool[rng.permutation(len(pool))[: int(rng.integers(0, 60))]])
+        bases = [rng.choice(pool, int(rng.integers(5, 90)), replace=False) for _ in range(3)]
+        sets = []
+        for _ in range(int(rng.integers(2, 60))):
+            base = bases[int(rng.integers(3))]
+            sets.append(ngram_join.distinct(np.concatenate([rng.choice(base, max(1, int(len(base) * rng.uniform(0.75, 1))), replace=False), rng.choice(pool, int(rng.integers(0, 4)))])))
+        labels = [int(x) for x in rng.integers(0, 2 * len(sets), len(sets))] if case % 2 else list(range(len(sets)))
+        label = dict(enumerate(labels))
+
+        def merge(i, j):
+            old, new = label[j], label[i]
+            for k in label:
+                label[k] = new if label[k] == old else label[k]
+
+        roots = [None] if case % 3 else [int(x) for x in pool]
+        found = [x for root in roots for x in ngram_join.walk(sets, labels, order, root)]
+        for i, j in found:
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            assert 4 * shared >= 3 * (len(sets[i]) + len(sets[j]) - shared)
+            merge(i, j)
+        got = dict(label)
+        label = dict(enumerate(labels))
+        for i in range(len(sets)):
+            for j in range(i):
+                shared = len(np.intersect1d(sets[i], sets[j]))
+                if 4 * shared >= 3 * (len(sets[i]) + len(sets[j]) - shared):
+                    merge(i, j)
+        assert len(set(got.values())) == len(set(label.values()))
+        assert all((got[i] == got[j]) == (label[i] == label[j]) for i in label for j in label)
+
+
+def test_large_branches(spark, monkeypatch):
+    """Large roots in blocks give what small ones give."""
+    rng = random.Random(13)
+    base, other = words(rng, 70).split(), words(rng, 45)
+    more = {1: None}
+    for i in range(2, 90):
+        w = list(base)
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"z{rng.randrange(9999)}"
+        more[i] = " ".join(w) if i % 3 else f"{' '.join(w[:60])} {other}"
+    want = brute_components(more)
+    for branch, block in ((64, 512), (4, 8), (4, 512)):
+        monkeypatch.setattr(ngram_join, "BRANCH", branch)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(frame(spark, more)).collect()} == want
+
+
+def test_hashes_of_words():
+    rng = random.Random(3)
+    texts = ["", " \n", "One two\x0bTHREE\x1cx", "é É ß", "a"] + [" ".join(rng.choices(["A", "a", "bb", "日本", "x\u2003y", "\t", " "], k=rng.randrange(40))) for _ in range(200)]
+    known = {}
+    for text, (w, s) in zip(texts, shingles.shingles_of(pa.array(texts))):
+        split = [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if x]
+        assert len(w) == len(split) and len(s) == (max(1, len(w) - 4) if len(w) else 0)
+        assert all(known.setdefault(a, b) == b for a, b in zip(split, w.tolist()))
+        assert (shingles.word_hashes(text) == w).all() and (shingles.shingle_hashes(w) == s).all()
+    assert len(set(known.values())) == len(known)
 
 
 def test_substring_dedup(spark, texts):
