@@ -10,7 +10,8 @@ with a Jaccard similarity of at least 3/4 share one of their first n - ceil(3n/4
 2. Each class goes to the branch of the least class that it meets; the tries there link most copies.
 3. Roots whose classes lie in several components stay. Small ones (BRANCH classes at most) give the pairs of classes that sizes and
    places in the order allow, and these meet under one root each; large ones go to their branches whole, blocks of
-   BLOCK classes against each other.
+   BLOCK classes against each other. Bitmaps of the sets (one hash bit for each shingle, two bits at most a shingle in
+   all) bound the difference of two sets from below, and rule pairs out before their sets are fetched.
 4. A branch is a trie of its sets in the global order. It is walked once for all probes together: partners below a node share
    the overlap with its path, and probes leave where the remaining lengths, or an earlier shared shingle (then another
    root finds the pair), rule out all sets below. Walks leave out pairs that are connected already and give a spanning
@@ -66,8 +67,26 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def needed(n: int) -> int:
-    """ceil(3n / 4)"""
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits at the leading digits of the hashes; dropping a digit joins neighbouring bits."""
+    size = max(6, (len(s) - 1).bit_length()) + 1 if len(s) else 6
+    out = np.zeros(1 << size, dtype=np.uint8)
+    out[(s >> np.uint64(64 - size)).astype(np.int64)] = 1
+    return np.packbits(out).tobytes()
+
+
+def differences(a: bytes, b: bytes) -> int:
+    """At least so many shingles are in one set only."""
+    x, y = (np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (a, b))
+    while len(x) > len(y):
+        x = x[::2] | x[1::2]
+    while len(y) > len(x):
+        y = y[::2] | y[1::2]
+    return int(np.count_nonzero(x != y))
+
+
+def needed(n):
+    """ceil(3n / 4): the least size of a partner, and of the overlap with one."""
     return (3 * n + 3) // 4
 
 
@@ -99,7 +118,7 @@ class Order:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """Written table: kind 0 (doc_id, n, key) of each document; kind 1 (key: a shingle, n: its count) of frequent ones."""
+    """Written table: kind 0 (doc_id, n, key, bits) of each document; kind 1 (key: a shingle, n: its count) of frequent ones."""
 
     def run(batches):
         seen, held, size = set(), [], 0
@@ -110,14 +129,15 @@ def sets_of(docs: DataFrame) -> DataFrame:
             n = np.diff(np.append(first, len(values)))
             often = n >= HOT_LOCAL
             values, n = values[first[often]].view(np.int64), n[often]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(values)], ["kind", "doc_id", "n", "key"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), dtype=np.int32)), pa.nulls(len(n), pa.int64()), pa.array(n), pa.array(values), pa.nulls(len(n), pa.binary())], ["kind", "doc_id", "n", "key", "bits"])
 
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bits = [], [], []
             for s in sets_in(batch.column("text")):
                 key = set_key(s)
                 sizes.append(len(s))
                 keys.append(key)
+                bits.append(bitmap(s))
                 if key not in seen and len(s):
                     seen.add(key)
                     held.append(s)
@@ -125,11 +145,11 @@ def sets_of(docs: DataFrame) -> DataFrame:
                     if size >= CHUNK:
                         yield counted()
                         seen, held, size = set(), [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), dtype=np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())], ["kind", "doc_id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), dtype=np.int32)), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary())], ["kind", "doc_id", "n", "key", "bits"])
         if held:
             yield counted()
 
-    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint"), "sets")
+    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint, bits binary"), "sets")
 
 
 def hot_shingles(table: DataFrame, most: int = HOT_LIST) -> np.ndarray:
@@ -225,7 +245,7 @@ def walk(sets: list[np.ndarray], labels: list[int], order: Order, root: int | No
         at = depth
         while True:
             size = n[probes]
-            need = -(-3 * (np.maximum(least, needed_of(size)) + size) // 7)
+            need = -(-3 * (np.maximum(least, needed(size)) + size) // 7)
             keep = (4 * size >= 3 * least) & (4 * most >= 3 * size) & (shared + np.minimum(longest - at, rest[probes] - shared) >= need)
             probes, shared = probes[keep], shared[keep]
             if at >= end or not len(probes):
@@ -258,11 +278,6 @@ def walk(sets: list[np.ndarray], labels: list[int], order: Order, root: int | No
     return out
 
 
-def needed_of(size: np.ndarray) -> np.ndarray:
-    """The least size of a partner."""
-    return (3 * size + 3) // 4
-
-
 def linked(branches: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """Written: links (a, b) that the walks of branches (branch, root, key, label) find; a branch fits into a task."""
     spark = docs.sparkSession
@@ -317,26 +332,39 @@ def joined(docs: DataFrame) -> DataFrame:
     hot = hot_shingles(table)
     entries = prefixes(docs, hot, hot_classes(table)).withColumn("salt", F.when(F.col("hot"), F.pmod("key", F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     part = Window.partitionBy("h", "salt")
-    by_key = part.orderBy("key")
     # Only shingles that several classes share go on; a frequent one's parts meet again by h.
-    met = entries.select("*", F.lag("key").over(by_key).alias("before"), F.min(F.struct("key", "n", "at")).over(part).alias("rep"), F.max("key").over(part).alias("top"))
+    met = entries.select("*", F.lag("key").over(part.orderBy("key")).alias("before"), F.min(F.struct("key", "n", "at")).over(part).alias("rep"), F.max("key").over(part).alias("top"), F.count("*").over(part).alias("m"))
     met = met.where("(before is null or before <> key) and (hot or top > rep.key)")
-    met = materialize(met.select("h", "key", "n", "at", "rep"), "met")
-    star = met.where((F.col("key") != F.col("rep.key")) & possible(F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at")))
-    star = star.groupBy("key").agg(F.min("rep.key").alias("rep"))
-    links = linked(stars(star), table, docs, hot)
+    ok = (F.col("key") != F.col("rep.key")) & possible(F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at"))
+    met = materialize(met.select("h", "key", "n", "at", (F.col("hot") | (F.col("m") > BRANCH)).alias("hot"), F.when(ok, F.col("rep.key")).alias("rep")), "met")
+    star = met.where("rep is not null").groupBy(F.col("key").alias("a")).agg(F.min("rep").alias("b"))
+    links = linked(stars(near(star, table)), table, docs, hot)
     label = labels(links)
-    links = links.union(linked(materialize(roots(met, label), "roots"), table, docs, hot))
-    out = results(table, labels(links))
+    links = links.union(linked(roots(met, label, table), table, docs, hot))
     free(met, label)
-    return out
+    return results(table, labels(links))
+
+
+def near(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Written: the pairs (a, b, ...) whose bitmaps do not rule Jaccard 3/4 out."""
+    one = table.where("kind = 0 and n > 0").select("key", "n", "bits").dropDuplicates(["key"])
+    side = lambda x: one.select(F.col("key").alias(x), F.col("n").alias(f"__n{x}"), F.col("bits").alias(f"__s{x}"))
+    names = pairs.columns
+
+    def run(batches):
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("__na", "__sa", "__nb", "__sb")]
+            kept = pa.array([7 * differences(sa, sb) <= na + nb for na, sa, nb, sb in zip(*cols)], pa.bool_())
+            yield batch.select(names).filter(kept)
+
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "__na", "__sa", "__nb", "__sb").mapInArrow(run, pairs.schema), "near")
 
 
 def stars(star: DataFrame) -> DataFrame:
-    """Branches of classes (key) with the class rep that they meet, BLOCK of them at most in expectation."""
-    many = star.groupBy("rep").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = star.join(many, "rep").withColumn("branch", F.xxhash64("rep", F.pmod(F.xxhash64("key"), "blocks")))
-    rows = rows.select("branch", "key").union(rows.select("branch", F.col("rep").alias("key"))).distinct()
+    """Branches of classes a with the class b that they meet, BLOCK of them at most in expectation."""
+    many = star.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = star.join(many, "b").withColumn("branch", F.xxhash64("b", F.pmod(F.xxhash64("a"), "blocks")))
+    rows = rows.select("branch", F.col("a").alias("key")).union(rows.select("branch", "b")).distinct()
     return rows.select("branch", F.lit(None).cast("bigint").alias("root"), "key", F.col("key").alias("label"))
 
 
@@ -346,27 +374,38 @@ def labels(links: DataFrame) -> DataFrame:
     return materialize(components(ends, links).select(F.col("id").alias("key"), F.col("component_id").alias("component")), "components")
 
 
-def roots(met: DataFrame, label: DataFrame) -> DataFrame:
+def roots(met: DataFrame, label: DataFrame, table: DataFrame) -> DataFrame:
     """Branches of the classes that meet under a root and may still link components."""
-    parts = met.join(label, "key", "left").select("h", "key", "n", "at", F.coalesce("component", "key").alias("label"))
-    parts = materialize(parts, "parts")
-    several = parts.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
-    parts = materialize(parts.join(several, "h"), "apart")
-    small = parts.where(F.col("m") <= BRANCH).select("h", "key", "n", "at", "label")
-    x, y = small.alias("x"), small.alias("y")
-    may = (F.col("x.h") == F.col("y.h")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"))
+    parts = met.join(label, "key", "left").select("h", "key", "n", "at", "hot", F.coalesce("component", "key").alias("label"))
+    often = parts.where("hot")
+    several = often.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
+    often = materialize(often.join(several, "h").select("h", "key", "n", "at", "label", "m"), "apart")
+    pairs = paired(parts.where("not hot")).union(paired(often.where(F.col("m") <= BRANCH)))
     # A pair meets under the root where it has the fewest shingles before.
-    pairs = x.join(y, may).groupBy("x.key", "x.label", "y.key", "y.label").agg(F.min(F.struct((F.col("x.at") + F.col("y.at")).alias("at"), F.col("x.h").alias("h"))).alias("r"))
-    pairs = materialize(pairs.toDF("a", "la", "b", "lb", "r"), "pairs")
+    pairs = near(pairs.groupBy("a", "la", "b", "lb").agg(F.min("r").alias("r")), table)
     side = lambda k, l: pairs.select(F.xxhash64("r.h").alias("branch"), F.lit(None).cast("bigint").alias("root"), F.col(k).alias("key"), F.col(l).alias("label"))
     few = side("a", "la").union(side("b", "lb")).distinct()
-    large = parts.where(F.col("m") > BRANCH).withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    large = often.where(F.col("m") > BRANCH).withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
     large = large.select("h", "key", "label", "block", other.alias("other"))
     large = large.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("branch"), F.col("h").alias("root"), "key", "label")
     return few.union(large)
 
 
+def paired(parts: DataFrame) -> DataFrame:
+    """(a, la, b, lb, r) of the pairs under roots of BRANCH classes at most that may be linked and have different labels."""
+    one = F.struct("key", "n", "at", "label")
+    groups = parts.groupBy("h").agg(F.collect_list(one).alias("m")).where(F.size("m") > 1)
+
+    def with_later(x, i):
+        may = lambda y: (x["label"] != y["label"]) & possible(x["n"], x["at"], y["n"], y["at"])
+        pair = lambda y: F.struct(F.least(x["key"], y["key"]).alias("a"), F.when(x["key"] < y["key"], x["label"]).otherwise(y["label"]).alias("la"), F.greatest(x["key"], y["key"]).alias("b"), F.when(x["key"] < y["key"], y["label"]).otherwise(x["label"]).alias("lb"), (x["at"] + y["at"]).alias("at"))
+        return F.transform(F.filter(F.slice("m", i + 2, BRANCH), may), pair)
+
+    pairs = groups.select("h", F.explode(F.flatten(F.transform("m", with_later))).alias("x"))
+    return pairs.select("x.a", "x.la", "x.b", "x.lb", F.struct("x.at", "h").alias("r"))
+
+
 def results(table: DataFrame, label: DataFrame) -> DataFrame:
     rows = table.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "key")
     firsts = rows.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least")).join(label, "key", "left").withColumn("component", F.coalesce("component", "key"))
