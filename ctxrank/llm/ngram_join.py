@@ -9,8 +9,8 @@ with a Jaccard similarity of at least 3/4 share one of their first n - ceil(3n/4
    only one class has in its prefix go.
 2. Each class goes to the branch of the least class that it meets; the tries there link most copies.
 3. Roots whose classes lie in several components stay. Small ones (BRANCH classes at most) give the pairs of classes that sizes and
-   places in the order allow, and these meet under one root each; large ones go to their branches whole, blocks of
-   BLOCK classes against each other. Bitmaps of the sets (one hash bit for each shingle, two bits at most a shingle in
+   places in the order allow, and these meet under one root each. Classes that large roots join directly or in a chain make a
+   cluster, whose sets are sent out once, blocks of BLOCK classes against each other; from CLUSTER classes on it is done root by root. Bitmaps of the sets (one hash bit for each shingle, two bits at most a shingle in
    all) bound the difference of two sets from below, and rule pairs out before their sets are fetched.
 4. A branch is a trie of its sets in the global order. It is walked once for all probes together: partners below a node share
    the overlap with its path, and probes leave where the remaining lengths, or an earlier shared shingle (then another
@@ -45,7 +45,7 @@ HOT_LOCAL, HOT_TOTAL, CHUNK = 4, 16, 1 << 21
 COPIES = 16
 SALTS = 32
 #: Roots over this number of classes are walked whole, in blocks.
-BRANCH, BLOCK = 64, 512
+BRANCH, BLOCK, CLUSTER = 64, 512, 4096
 #: Ids of documents to verify are broadcast up to this number (8 MB), beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 #: Shingles of a path that a walk takes before it looks at the bounds again.
@@ -210,7 +210,7 @@ def walk(sets: list[np.ndarray], labels: list[int], order: Order, root: int | No
     alphabet, rank = order.arrange(alphabet)
     place = np.argsort(alphabet)
     by_hash = alphabet[place]
-    paths, rows = [], np.zeros((len(alphabet), m), dtype=np.int32)
+    paths, rows = [], np.zeros((len(alphabet), m), dtype=np.uint8)
     for i, s in enumerate(sets):
         at = np.minimum(np.searchsorted(by_hash, s), max(len(by_hash) - 1, 0))
         path = np.sort(place[at[by_hash[at] == s]]) if len(by_hash) else np.empty(0, dtype=np.int64)
@@ -254,9 +254,9 @@ def walk(sets: list[np.ndarray], labels: list[int], order: Order, root: int | No
             if start >= 0:  # at the root nothing may be shared so far
                 before = int(np.searchsorted(first[at:stop], start))
                 if at + before < stop and first[at + before] == start:
-                    keep = shared + rows[np.ix_(first[at : at + before], probes)].sum(axis=0) == 0
+                    keep = shared + rows[np.ix_(first[at : at + before], probes)].sum(axis=0, dtype=np.int64) == 0
                     probes, shared = probes[keep], shared[keep]
-            shared = shared + rows[np.ix_(first[at:stop], probes)].sum(axis=0)
+            shared = shared + rows[np.ix_(first[at:stop], probes)].sum(axis=0, dtype=np.int64)
             at = stop
         if not len(probes):
             continue
@@ -378,18 +378,31 @@ def roots(met: DataFrame, label: DataFrame, table: DataFrame) -> DataFrame:
     """Branches of the classes that meet under a root and may still link components."""
     parts = met.join(label, "key", "left").select("h", "key", "n", "at", "hot", F.coalesce("component", "key").alias("label"))
     often = parts.where("hot")
-    several = often.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("h", "m")
-    often = materialize(often.join(several, "h").select("h", "key", "n", "at", "label", "m"), "apart")
+    several = often.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.min("key").alias("first")).where("lo < hi").select("h", "m", "first")
+    often = materialize(often.join(several, "h").select("h", "key", "n", "at", "label", "m", "first"), "apart")
     pairs = paired(parts.where("not hot")).union(paired(often.where(F.col("m") <= BRANCH)))
     # A pair meets under the root where it has the fewest shingles before.
     pairs = near(pairs.groupBy("a", "la", "b", "lb").agg(F.min("r").alias("r")), table)
     side = lambda k, l: pairs.select(F.xxhash64("r.h").alias("branch"), F.lit(None).cast("bigint").alias("root"), F.col(k).alias("key"), F.col(l).alias("label"))
     few = side("a", "la").union(side("b", "lb")).distinct()
-    large = often.where(F.col("m") > BRANCH).withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    large = large.select("h", "key", "label", "block", other.alias("other"))
-    large = large.select(F.xxhash64("h", F.least("block", "other"), F.greatest("block", "other")).alias("branch"), F.col("h").alias("root"), "key", "label")
-    return few.union(large)
+    large = often.where(F.col("m") > BRANCH)
+    if large.isEmpty():
+        return few
+    clusters = components(large.select(F.col("key").alias("id")).distinct(), large.select(F.col("key").alias("a"), F.col("first").alias("b")).distinct())
+    clusters = materialize(clusters.select(F.col("id").alias("key"), F.col("component_id").alias("cluster")), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("m"))
+    whole = clusters.join(sizes.where(F.col("m") <= CLUSTER), "cluster").join(large.select("key", "label").distinct(), "key")
+    whole = blocks(whole.select(F.xxhash64("cluster", "m").alias("group"), "m", "key", "label")).withColumn("root", F.lit(None).cast("bigint"))
+    by_root = large.join(clusters.join(sizes.where(F.col("m") > CLUSTER), "cluster").select("key"), "key", "left_semi")
+    by_root = blocks(by_root.select(F.xxhash64("h").alias("group"), "m", "key", "label", F.col("h").alias("root")))
+    return few.unionByName(whole.select("branch", "root", "key", "label")).unionByName(by_root.select("branch", "root", "key", "label"))
+
+
+def blocks(rows: DataFrame) -> DataFrame:
+    """rows (group, m, key, ...) with the branch of each two blocks of a group of m, one row for each branch."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("m") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return rows.withColumn("branch", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")))
 
 
 def paired(parts: DataFrame) -> DataFrame:

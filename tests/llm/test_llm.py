@@ -212,9 +212,9 @@ def test_large_branches(spark, monkeypatch):
             w[rng.randrange(len(w))] = f"z{rng.randrange(9999)}"
         more[i] = " ".join(w) if i % 3 else f"{' '.join(w[:60])} {other}"
     want = brute_components(more)
-    for branch, block in ((64, 512), (4, 8), (4, 512)):
-        monkeypatch.setattr(ngram_join, "BRANCH", branch)
-        monkeypatch.setattr(ngram_join, "BLOCK", block)
+    for branch, block, cluster in ((4, 8, 4096), (4, 16, 20)):
+        for name, value in (("BRANCH", branch), ("BLOCK", block), ("CLUSTER", cluster)):
+            monkeypatch.setattr(ngram_join, name, value)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(frame(spark, more)).collect()} == want
 
 
