@@ -45,9 +45,9 @@ HOT_LOCAL, HOT_TOTAL, CHUNK = 4, 16, 1 << 21
 COPIES = 16
 SALTS = 32
 #: Roots over this number of classes are walked whole, in blocks.
-BRANCH, BLOCK, CLUSTER = 64, 512, 4096
-#: Ids of documents to verify are broadcast up to this number (8 MB), beyond it the join shuffles.
-BROADCAST_IDS = 500_000
+BRANCH, BLOCK, CLUSTER = 64, 256, 4096
+#: Rows of branches are broadcast up to this number (20 MB), beyond it their joins shuffle.
+BROADCAST_ROWS = 500_000
 #: Shingles of a path that a walk takes before it looks at the bounds again.
 STRIDE = 32
 
@@ -283,23 +283,25 @@ def linked(branches: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarr
     spark = docs.sparkSession
     branches = materialize(branches, "branches")
     one = table.where("kind = 0 and n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialize(one.join(branches.select("key").distinct(), "key", "left_semi").where("doc_id is not null").select("doc_id"), "wanted")
-    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = materialize(one.join(branches.select("key").distinct(), "key", "left_semi").where("doc_id is not null").select("doc_id").distinct(), "wanted")
+    small = branches.count() <= BROADCAST_ROWS
 
     def sets(batches):
+        seen = set()
         for batch in batches:
-            got = list(sets_in(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["key", "s"])
+            got = {set_key(s): s for s in sets_in(batch.column("text"))}
+            new = {key: s for key, s in got.items() if key not in seen}
+            seen = new.keys() | (seen if len(seen) < 200_000 else set())
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], ["key", "s"])
 
-    found = materialize(docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "key bigint, s binary").dropDuplicates(["key"]), "sets")
+    found = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").select("text").mapInArrow(sets, "key bigint, s binary")
 
     def run(batches):
-        order, held, at = Order(hot), [], None
+        order, held, at = Order(hot), {}, None
 
         def links():
-            rows = {key: (label, np.frombuffer(s, dtype=np.uint64)) for key, label, s in held}
-            keys, root = list(rows), None if at[1] is None else at[1] % (1 << 64)
-            got = walk([rows[k][1] for k in keys], [rows[k][0] for k in keys], order, root) if len(keys) > 1 else []
+            keys, root = list(held), None if at[1] is None else at[1] % (1 << 64)
+            got = walk([np.frombuffer(held[k][1], dtype=np.uint64) for k in keys], [held[k][0] for k in keys], order, root) if len(keys) > 1 else []
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in got], pa.int64()), pa.array([keys[j] for _, j in got], pa.int64())], ["a", "b"])
 
@@ -308,14 +310,14 @@ def linked(branches: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarr
                 if held and at[0] != branch:
                     yield links()
                 at = branch, root
-                held.append((key, label, s))
+                held[key] = label, s
         if held:
             yield links()
 
     with small_batches(spark, 64):
-        rows = branches.join(found, "key").select("branch", "root", "key", "label", "s").repartition("branch").sortWithinPartitions("branch")
-        links = materialize(rows.mapInArrow(run, "a bigint, b bigint"), "links")
-    free(branches, wanted, found)
+        rows = found.join(F.broadcast(branches) if small else branches, "key").select("branch", "root", "key", "label", "s")
+        links = materialize(rows.repartition("branch").sortWithinPartitions("branch").mapInArrow(run, "a bigint, b bigint"), "links")
+    free(branches, wanted)
     return links
 
 
@@ -395,7 +397,7 @@ def roots(met: DataFrame, label: DataFrame, table: DataFrame) -> DataFrame:
     whole = blocks(whole.select(F.xxhash64("cluster", "m").alias("group"), "m", "key", "label")).withColumn("root", F.lit(None).cast("bigint"))
     by_root = large.join(clusters.join(sizes.where(F.col("m") > CLUSTER), "cluster").select("key"), "key", "left_semi")
     by_root = blocks(by_root.select(F.xxhash64("h").alias("group"), "m", "key", "label", F.col("h").alias("root")))
-    return few.unionByName(whole.select("branch", "root", "key", "label")).unionByName(by_root.select("branch", "root", "key", "label"))
+    return few.unionByName(likely(whole.unionByName(by_root), table))
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -405,6 +407,54 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("branch", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")))
 
 
+def likely(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(branch, root, key, label) of the members of branches that bitmaps leave a partner of another label."""
+    bits = table.where("kind = 0 and n > 0").select("key", "n", "bits").dropDuplicates(["key"])
+
+    def run(batches):
+        held: list[tuple] = []
+
+        def kept():
+            which = np.flatnonzero(with_partner([r[3] for r in held], np.array([r[4] for r in held]), [r[5] for r in held]))
+            out = [held[i][:4] for i in which.tolist()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 4)], ["branch", "root", "key", "label"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("branch", "root", "key", "label", "n", "bits"))):
+                if held and held[-1][0] != row[0]:
+                    yield kept()
+                held.append(row)
+        if held:
+            yield kept()
+
+    rows = rows.join(bits, "key").select("branch", "root", "key", "label", "n", "bits").repartition("branch").sortWithinPartitions("branch")
+    return rows.mapInArrow(run, "branch bigint, root bigint, key bigint, label bigint")
+
+
+def with_partner(labels: list[int], n: np.ndarray, bits: list[bytes]) -> np.ndarray:
+    """Which of the sets may be linked with one of another label, by sizes and bitmaps."""
+    label, size = np.array(labels), np.array([len(b) for b in bits])
+    out = np.zeros(len(n), dtype=bool)
+    for width in np.unique(size).tolist():
+        low = np.flatnonzero(size == width)
+        a = np.frombuffer(b"".join(bits[i] for i in low.tolist()), dtype=np.uint64).reshape(len(low), -1)
+        for other in (width, 2 * width):  # the sizes of partners differ by a third at most
+            high = np.flatnonzero(size == other)
+            b = np.frombuffer(b"".join(bits[i] for i in high.tolist()), dtype=np.uint8).reshape(len(high), -1)
+            if other > width:
+                wide = np.unpackbits(b, axis=1)
+                b = np.packbits(wide[:, ::2] | wide[:, 1::2], axis=1)
+            b = b.view(np.uint64)
+            for i in range(len(low)):
+                apart = np.bitwise_count(a[i] ^ b).sum(axis=1, dtype=np.int64)
+                x = low[i]
+                found = high[(label[high] != label[x]) & (7 * apart <= n[high] + n[x])]
+                if len(found):
+                    out[x] = out[found] = True
+    return out
+
+
 def paired(parts: DataFrame) -> DataFrame:
     """(a, la, b, lb, r) of the pairs under roots of BRANCH classes at most that may be linked and have different labels."""
     one = F.struct("key", "n", "at", "label")
