@@ -441,6 +441,8 @@ def with_partner(labels: list[int], n: np.ndarray, bits: list[bytes]) -> np.ndar
         a = np.frombuffer(b"".join(bits[i] for i in low.tolist()), dtype=np.uint64).reshape(len(low), -1)
         for other in (width, 2 * width):  # the sizes of partners differ by a third at most
             high = np.flatnonzero(size == other)
+            if not len(high):
+                continue
             b = np.frombuffer(b"".join(bits[i] for i in high.tolist()), dtype=np.uint8).reshape(len(high), -1)
             if other > width:
                 wide = np.unpackbits(b, axis=1)
