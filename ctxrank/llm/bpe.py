@@ -43,10 +43,10 @@ BYTE_CHARS = byte_chars()
 
 
 class Memo:
-    """Ids of text pieces as bytes; at most `most` pieces of at most `longest` characters are kept."""
+    """Ids of text pieces as bytes; at most `most` pieces of at most `longest` characters are kept, the first ones or (clears) the last."""
 
-    def __init__(self, encode_batch, most: int = 300_000, longest: int = 48):
-        self.encode_batch, self.most, self.longest, self.known = encode_batch, most, longest, {}
+    def __init__(self, encode_batch, most: int = 300_000, longest: int = 48, clears: bool = True):
+        self.encode_batch, self.most, self.longest, self.clears, self.known = encode_batch, most, longest, clears, {}
 
     def many(self, pieces: list[str]) -> list[bytes]:
         known = self.known
@@ -55,9 +55,10 @@ class Memo:
             new = list({p for p, f in zip(pieces, found) if f is None})
             got = dict(zip(new, self.encode_batch(new)))
             found = [got[p] if f is None else f for p, f in zip(pieces, found)]
-            if len(known) + len(got) > self.most:
+            if len(known) + len(got) > self.most and self.clears:
                 known.clear()
-            known.update((p, x) for p, x in got.items() if len(p) <= self.longest)
+            if len(known) + len(got) <= self.most:
+                known.update((p, x) for p, x in got.items() if len(p) <= self.longest)
         return found
 
 

@@ -41,11 +41,11 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of texts that lie one after the other, and where each text's words begin."""
+def words_in(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, first bytes, last bytes) of the words of texts that lie one after the other, and where each text's words begin."""
     n = len(data)
     if not n:
-        return np.empty(0, dtype=np.uint64), np.zeros(len(offsets), dtype=np.int64)
+        return np.empty(0, dtype=np.uint64), *[np.empty(0, dtype=np.int64)] * 2, np.zeros(len(offsets), dtype=np.int64)
     power, inverse = _tables(n + 1)
     word = ~_SPACE[data]
     begins, ends = word.copy(), word.copy()
@@ -58,7 +58,7 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTES[data] * power[:n], out=sums[1:])
     hashes = mix((sums[last + 1] - sums[first]) * inverse[first] + (last - first + 1).astype(np.uint64) * _C)
-    return hashes, np.searchsorted(first, offsets)
+    return hashes, first, last, np.searchsorted(first, offsets)
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -72,14 +72,15 @@ def texts_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     while at < len(column):
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
         part = offsets[at : stop + 1]
-        yield at, *_word_hashes(data[part[0] : part[-1]], part - part[0])
+        hashes, _, _, bounds = words_in(data[part[0] : part[-1]], part - part[0])
+        yield at, hashes, bounds
         at = stop
 
 
 def word_hashes(text: str) -> np.ndarray:
     """Of the words [^\\x20\\x09-\\x0D]+ of one text, with A-Z lower-cased."""
     data = np.frombuffer(text.encode(), dtype=np.uint8)
-    return _word_hashes(data, np.array([0, len(data)]))[0]
+    return words_in(data, np.array([0, len(data)]))[0]
 
 
 def shingle_hashes(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:

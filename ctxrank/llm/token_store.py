@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_CHARS, Memo
-from .common import keyed_text, materialize, ship
+from .common import free, keyed_text, materialize, ship, small_batches
 
 VOCAB = "word_bpe_49k.json"
 END = 1
@@ -35,8 +35,9 @@ BLOCK_IDS = 1 << 19
 RULES = (["NFC", "Replace", "Lowercase"], [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "ByteLevel"])
 #: Letters and digits of Latin-1 after lower-casing; what ODD finds is not split here.
 LETTERS, DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^ \\t-\\r{LETTERS}{DIGITS}]+")
+WORD = re.compile(f"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{DIGITS}]|[^ \\t-\\r{LETTERS}{DIGITS}]+")  # no letter begins another branch
 ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\x9f\\xa1-\\xff]")
+SCHEMA = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 SHOWN = {c: "".join(BYTE_CHARS[b] for b in chr(c).encode()) for c in range(256)}
 
 _tokenizers: dict[str, WordIds] = {}
@@ -61,11 +62,11 @@ class WordIds:
         split = [x.get("pattern", {}).get("Regex", x["type"]) for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.plain = (normal, split) == RULES and not any(c.isspace() for t in self.added for c in t)
-        self.memo = Memo(self._words, 800_000)
+        self.memo = Memo(self._words, 400_000)
 
     def _words(self, words: list[str]) -> list[bytes]:
         tokenize = self.tokenizer.model.tokenize
-        return [np.array([t.id for t in tokenize(w.translate(SHOWN))], dtype="<u4").tobytes() for w in words]
+        return [b"".join([t.id.to_bytes(4, "little") for t in tokenize(w if w.isascii() and w.isprintable() else w.translate(SHOWN))]) for w in words]
 
     def encode_bytes(self, text: str) -> bytes:
         if not text:
@@ -172,7 +173,10 @@ class Code:
 
 
 def encode_ids(docs: DataFrame, vocab_path: str | None = None, end: int | None = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Written table (part, seq, doc_id, begin, n, ids): documents in order; begin counts ids before it in its part."""
+    """Written table (part, seq, doc_id, begin, n, ids): documents in order; begin counts ids before it in its part.
+
+    The last row of a part, of seq -1, has the part's ids in n and in ids how often each occurs there.
+    """
     path = vocab_path or public_tokenizers.path(VOCAB)
     spark = docs.sparkSession
     ship(spark)
@@ -181,19 +185,28 @@ def encode_ids(docs: DataFrame, vocab_path: str | None = None, end: int | None =
     def run(batches):
         from pyspark import TaskContext
 
-        part, words, begin, seq = TaskContext.get().partitionId(), word_ids(path), 0, 0
+        part, words, begin, seq, total = TaskContext.get().partitionId(), word_ids(path), 0, 0, np.zeros(0, dtype=np.int64)
         for batch in batches:
             ids = [words.encode_bytes(x.as_py()) + tail for x in batch.column("text")]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             begins = begin + np.cumsum(n) - n
+            got = np.bincount(np.frombuffer(b"".join(ids), dtype="<u4"))
+            if len(got) > len(total):
+                total = np.pad(total, (0, len(got) - len(total)))
+            total[: len(got)] += got
             narrow = [np.frombuffer(x, dtype="<u4") for x in ids]
             narrow = [x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\1" + x.tobytes() for x in narrow]
             rows = len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(rows, part)), pa.array(np.arange(seq, seq + rows)), batch.column("doc_id"), pa.array(begins), pa.array(n), pa.array(narrow, pa.binary())], ["part", "seq", "doc_id", "begin", "n", "ids"])
             begin, seq = begin + int(n.sum()), seq + rows
+        if seq:
+            used = np.flatnonzero(total)
+            counts = np.stack([used, total[used]], axis=1).astype("<i8").tobytes()
+            yield pa.RecordBatch.from_pylist([{"part": part, "seq": -1, "doc_id": None, "begin": 0, "n": begin, "ids": counts}], SCHEMA)
 
     ordered = keyed_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(run, "part bigint, seq bigint, doc_id bigint, begin bigint, n bigint, ids binary"), "ids")
+    with small_batches(spark, 512):
+        return materialize(ordered.mapInArrow(run, "part bigint, seq bigint, doc_id bigint, begin bigint, n bigint, ids binary"), "ids")
 
 
 def widen(raw: bytes) -> np.ndarray:
@@ -205,17 +218,12 @@ def id_counts(encoded: DataFrame) -> dict[int, int]:
     """How often each id occurs in all documents; bounded by the vocabulary."""
 
     def run(batches):
-        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for raw in batch.column("ids"):
-                got = np.bincount(widen(raw.as_py()))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
-
-    counted = encoded.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+                used, n = np.frombuffer(raw.as_py(), dtype="<i8").reshape(-1, 2).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(used)), pa.array(np.ascontiguousarray(n))], ["id", "n"])
+
+    counted = encoded.where("seq < 0").select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return {int(i): int(n) for i, n in counted.toArrow().to_pandas().itertuples(index=False)}
 
 
@@ -245,7 +253,7 @@ def write(encoded: DataFrame, lengths: dict[int, int], block_ids: int = BLOCK_ID
         if held:
             yield block()
 
-    return materialize(encoded.select("part", "begin", "doc_id", "n", "ids").mapInArrow(run, "part bigint, begin bigint, doc_ids array<bigint>, n array<bigint>, checkpoints array<bigint>, bits binary"), "blocks")
+    return materialize(encoded.where("seq >= 0").select("part", "begin", "doc_id", "n", "ids").mapInArrow(run, "part bigint, begin bigint, doc_ids array<bigint>, n array<bigint>, checkpoints array<bigint>, bits binary"), "blocks")
 
 
 def read(blocks: DataFrame, lengths: dict[int, int], offsets: dict[int, int], keep_ids: bool = True) -> DataFrame:
@@ -270,8 +278,10 @@ def store(docs: DataFrame, vocab_path: str | None = None, keep_ids: bool = True)
     """Encodes, writes the coded files and reads them back: (doc_id, start, n_tokens, ids_crc32[, ids])."""
     encoded = encode_ids(docs, vocab_path)
     lengths = code_lengths(id_counts(encoded))
-    totals = {r.part: r.n for r in encoded.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # one row a part
+    totals = {r.part: r.n for r in encoded.where("seq < 0").select("part", "n").collect()}  # one row a part
     offsets, total = {}, 0
     for part in sorted(totals):
         offsets[part], total = total, total + totals[part]
-    return read(write(encoded, lengths), lengths, offsets, keep_ids)
+    blocks = write(encoded, lengths)
+    free(encoded)
+    return read(blocks, lengths, offsets, keep_ids)
