@@ -218,10 +218,15 @@ def id_counts(encoded: DataFrame) -> dict[int, int]:
     """How often each id occurs in all documents; bounded by the vocabulary."""
 
     def run(batches):
+        total = np.zeros(0, dtype=np.int64)
         for batch in batches:
             for raw in batch.column("ids"):
                 used, n = np.frombuffer(raw.as_py(), dtype="<i8").reshape(-1, 2).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(used)), pa.array(np.ascontiguousarray(n))], ["id", "n"])
+                if len(used) and used[-1] >= len(total):
+                    total = np.pad(total, (0, int(used[-1]) + 1 - len(total)))
+                total[used] += n
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
     counted = encoded.where("seq < 0").select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return {int(i): int(n) for i, n in counted.toArrow().to_pandas().itertuples(index=False)}
