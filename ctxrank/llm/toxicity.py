@@ -1,14 +1,17 @@
-"""Toxicity by nearest labelled examples under exact cosine of weighted TF-IDF (operator 10).
+"""Toxicity by nearest labelled examples under exact cosine of weighted TF-IDF, by a block-max inverted index (operator 10).
 
 Terms are lower-cased runs of letters; all terms of the examples are the vocabulary. A term's weight is its TF-IDF, with
 the IDF over all training documents, times 1 + chi-squared / CHI2 if it goes with the label; scaled to length 1, these are a
 document's vector. Words that no example holds have no weight.
-`examples` labelled training rows (chosen by a hash of doc_id; a documented bound) form an inverted index. A query adds up
-the postings of all its terms, so that the k nearest are exact. Votes are weighted by closeness; isotonic
-regression over the examples' own leave-one-out votes turns them into scores.
+`examples` labelled training rows (chosen by a hash of doc_id; a documented bound) form an inverted index in blocks of BLOCK
+examples. Rows of frequent terms are added whole, for all texts of a batch by one product. Of the other terms the index
+keeps each block's greatest weight, and these bound a block's scores. The FIRST blocks with the highest bounds are scored; the k-th
+best score there rules out all blocks whose bound is below it, and only the postings of the blocks that are left are read: the
+k nearest are exact. Votes are weighted by closeness; isotonic regression over the examples' own leave-one-out
+votes turns them into scores.
 
-Defined results: a null, empty or word-less text has no neighbours and gets the base rate (as do all texts
-when there is nothing to learn from: then 0); equal texts get equal scores; ties between examples go to the
+Defined results: a null, empty or word-less text has no neighbours and gets the score of a vote without any (0 if
+there is nothing to learn from); equal texts get equal scores; ties between examples go to the
 lower doc_id; repeated rows stay; a document with several labels counts as toxic if one of them is; other columns
 are ignored.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, keyed_text, ship
 
-EXAMPLES = 6000
+EXAMPLES = 4000
 CHI2 = 20.0
 NEIGHBOURS = 25
 #: A term that one in DENSE examples holds is added as a whole row.
 DENSE = 12
+BLOCK, FIRST = 64, 4
+#: Texts that are scored together.
+TOGETHER = 64
 PRIOR = 2.0
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,6 +47,12 @@ def features(text: str, vocab: dict[str, int]) -> Counter:
     return Counter([vocab[w] for w in WORD.findall(text.lower()) if w in vocab])
 
 
+def spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
     vocab: dict[str, int]
@@ -48,36 +60,78 @@ class Index:
     base: float
     doc_ids: np.ndarray
     labels: np.ndarray
-    pointers: np.ndarray  # term -> first posting
-    members: np.ndarray
+    pointers: np.ndarray  # term -> first entry; an entry is a term in a block
+    blocks: np.ndarray  # of entries
+    bounds: np.ndarray  # of entries: greatest weight
+    begins: np.ndarray  # entry -> first posting
+    members: np.ndarray  # of postings
     weights: np.ndarray
+    dense: np.ndarray  # term -> row of rows, or -1
+    rows: np.ndarray  # weights of frequent terms in all examples
     knots: tuple[np.ndarray, np.ndarray] | None = None
-    rows: dict[int, np.ndarray] = field(default_factory=dict)
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines, exactly; only examples that share a term."""
-        n = len(self.labels)
-        scores = np.zeros(n)
-        for t, x in zip(at.tolist(), w.tolist()):
-            a, b = self.pointers[t], self.pointers[t + 1]
-            if (b - a) * DENSE < n:
-                scores[self.members[a:b]] += x * self.weights[a:b]
-            else:
-                if t not in self.rows:
-                    self.rows[t] = np.zeros(n)
-                    self.rows[t][self.members[a:b]] = self.weights[a:b]
-                scores += x * self.rows[t]
-        if without >= 0:
-            scores[without] = 0
-        least = np.partition(scores, -k)[-k] - 1e-8 if n > k else 0.0
-        near = np.flatnonzero((scores > 0) & (scores >= least))
-        near = near[np.lexsort((near, -np.round(scores[near], 9)))][:k]
-        return near, scores[near]
+
+    def nearest_many(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each (terms, weights) the k nearest examples and their cosines, exactly; only examples that share a term."""
+        n, m = len(self.labels), len(queries)
+        if not n or not m:
+            return [(np.empty(0, dtype=np.int64), np.empty(0))] * m
+        nb = -(-n // BLOCK)
+        which = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, w = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        row = self.dense[terms]
+        often = row >= 0
+        q = np.zeros((m, len(self.rows)))
+        q[which[often], row[often]] = w[often]
+        scores = np.zeros((m, nb * BLOCK))
+        scores[:, :n] = q @ self.rows
+        which, terms, w = which[~often], terms[~often], w[~often]
+        sizes = self.pointers[terms + 1] - self.pointers[terms]
+        at = spread(self.pointers[terms], sizes)  # entries of all queries
+        which, w = np.repeat(which, sizes), np.repeat(w, sizes)
+        cell = which * nb + self.blocks[at]
+        bound = np.bincount(cell, w * self.bounds[at], minlength=m * nb).reshape(m, nb) + scores.reshape(m, nb, BLOCK).max(axis=2)
+        done = np.zeros(m * nb, dtype=bool)
+        flat = scores.reshape(-1)
+
+        def add(cells: np.ndarray) -> None:
+            """The postings of these blocks of queries."""
+            chosen = np.flatnonzero(cells[cell] & ~done[cell])
+            e = at[chosen]
+            sizes = self.begins[e + 1] - self.begins[e]
+            p = spread(self.begins[e], sizes)
+            np.add.at(flat, np.repeat(which[chosen] * (nb * BLOCK), sizes) + self.members[p], np.repeat(w[chosen], sizes) * self.weights[p])
+            done[:] |= cells
+
+        if nb > FIRST:
+            best = np.zeros((m, nb), dtype=bool)
+            np.put_along_axis(best, np.argpartition(bound, -FIRST, axis=1)[:, -FIRST:], True, axis=1)
+            add(best.reshape(-1))
+            if without is not None:
+                for i, x in enumerate(without):
+                    scores[i, x] = 0
+            # Scores so far are not above the true ones, so that the k-th best of them is not above the true k-th best.
+            least = np.partition(scores, -k, axis=1)[:, -k] if nb * BLOCK > k else np.zeros(m)
+            add((bound >= (least - 1e-8)[:, None]).reshape(-1))
+        else:
+            add(np.ones(m * nb, dtype=bool))
+        out = []
+        for i in range(m):
+            own = scores[i, :n]
+            if without is not None:
+                own[without[i]] = 0
+            least = np.partition(own, -k)[-k] - 1e-8 if n > k else 0.0
+            near = np.flatnonzero((own > 0) & (own >= least))
+            near = near[np.lexsort((self.doc_ids[near], -np.round(own[near], 9)))][:k]
+            out.append((near, own[near]))
+        return out
+
+    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        return self.nearest_many([(at, w)], k)[0]
 
     def weigh(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights of the unit vector."""
         at = np.array(sorted(found), dtype=np.int64)
-        w = np.array([1 + np.log(found[i]) for i in at.tolist()]) * self.idf[at]
+        w = (1 + np.log(np.array([found[i] for i in at.tolist()], dtype=float))) * self.idf[at]
         return at, w / max(float(np.linalg.norm(w)), 1e-12)
 
     def vote(self, near: np.ndarray, sims: np.ndarray) -> float:
@@ -103,18 +157,33 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def build(vocab: dict[str, int], idf: np.ndarray, base: float, rows: list[tuple[int, int, Counter]]) -> Index:
     """rows: (doc_id, label, counts) of the examples."""
-    rows = sorted(rows, key=lambda r: (r[0], r[1]))
-    index = Index(vocab, idf, base, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), np.zeros(len(idf) + 1, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))  # labels apart: blocks differ more
+    n, none = len(rows), np.empty(0, dtype=np.int64)
+    index = Index(vocab, idf, base, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), np.zeros(len(idf) + 1, dtype=np.int64), none, np.empty(0), none, none, np.empty(0), np.full(len(idf), -1), np.zeros((0, n)))
+    if not n:
+        return index
     units = [index.weigh(r[2]) for r in rows]
-    if rows:
-        terms, members, weights = np.concatenate([u[0] for u in units]), np.repeat(np.arange(len(rows)), [len(u[0]) for u in units]), np.concatenate([u[1] for u in units])
-        order = np.argsort(terms, kind="stable")
-        index.members, index.weights = members[order].astype(np.int32), weights[order].astype(float)
-        index.pointers = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-    if len(rows):
-        raw = [index.vote(*index.nearest(*u, without=i)) for i, u in enumerate(units)]
-        index.knots = isotonic(np.array(raw), index.labels)
-        index.rows = {}  # made again where it is used
+    terms, members, weights = np.concatenate([u[0] for u in units]), np.repeat(np.arange(n), [len(u[0]) for u in units]), np.concatenate([u[1] for u in units])
+    df = np.bincount(terms, minlength=len(idf))
+    frequent = np.flatnonzero(df * DENSE >= n)
+    index.dense[frequent] = np.arange(len(frequent))
+    index.rows = np.zeros((len(frequent), n))
+    often = index.dense[terms] >= 0
+    index.rows[index.dense[terms[often]], members[often]] = weights[often]
+    terms, members, weights = terms[~often], members[~often], weights[~often]
+    order = np.argsort(terms, kind="stable")  # members ascend within a term
+    terms, index.members, index.weights = terms[order], members[order], weights[order]
+    nb = -(-n // BLOCK)
+    entry = terms * nb + index.members // BLOCK
+    first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else none
+    index.begins = np.append(first, len(entry))
+    index.blocks, index.bounds = entry[first] % nb, np.maximum.reduceat(index.weights, first) if len(first) else np.empty(0)
+    index.pointers = np.searchsorted(entry[first] // nb, np.arange(len(idf) + 1))
+    votes = []
+    for a in range(0, n, TOGETHER):
+        some = list(range(a, min(n, a + TOGETHER)))
+        votes += [index.vote(*x) for x in index.nearest_many([units[i] for i in some], without=some)]
+    index.knots = isotonic(np.array(votes), index.labels)
     return index
 
 
@@ -163,22 +232,26 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, th
 
     def run(batches):
         known: dict = {}
+
+        def learn(texts):
+            """Scores and evidence of texts that are not known, by key."""
+            if index is None:
+                known.update((key, (0.0, [])) for key in texts)
+                return
+            found = index.nearest_many([index.weigh(features(text, index.vocab)) for text in texts.values()])
+            for key, (near, sims) in zip(texts, found):
+                known[key] = index.score(index.vote(near, sims)), [{"doc_id": int(index.doc_ids[i]), "similarity": float(s), "toxic": int(index.labels[i])} for i, s in zip(near[:5], sims)]
+
         for batch in batches:
             scores, evidence = [], []
-            for text in batch.column("text"):
-                if index is None:
-                    scores.append(0.0)
-                    evidence.append([])
-                    continue
-                text = text.as_py()
-                key = hashlib.blake2b(text.encode(), digest_size=16).digest()
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    near, sims = index.nearest(*index.weigh(features(text, index.vocab)))
-                    known[key] = index.score(index.vote(near, sims)), [{"doc_id": int(index.doc_ids[i]), "similarity": float(s), "toxic": int(index.labels[i])} for i, s in zip(near[:5], sims)]
-                scores.append(known[key][0])
-                evidence.append(known[key][1])
+            for a in range(0, batch.num_rows, TOGETHER):
+                texts = batch.column("text")[a : a + TOGETHER].to_pylist()
+                keys = [hashlib.blake2b(text.encode(), digest_size=16).digest() for text in texts]
+                if len(known) > 50_000:
+                    known.clear()
+                learn({key: text for key, text in zip(keys, texts) if key not in known})
+                scores += [known[key][0] for key in keys]
+                evidence += [known[key][1] for key in keys]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "evidence"])
 

@@ -343,18 +343,26 @@ def test_toxicity_of_rare_words(spark):
 
 
 def test_nearest_is_exact():
+    """Against all cosines, with many blocks, frequent and rare terms, and one example left out."""
     rng = random.Random(6)
-    vocab = {f"t{i}": i for i in range(30)}
-    rows = [(i, i % 2, collections.Counter(rng.choices(range(30), k=rng.randrange(1, 8)))) for i in range(500)]
-    index = toxicity.build(vocab, np.linspace(1, 3, 30), 0.5, rows)
-    dense = np.zeros((500, 30))
-    for i, r in enumerate(rows):
-        at, w = index.weigh(r[2])
-        dense[i, at] = w
-    for _ in range(30):
-        at, w = index.weigh(collections.Counter(rng.choices(range(30), k=4)))
-        near, sims = index.nearest(at, w, 10)
-        assert np.allclose(np.sort(sims), np.sort(np.sort(dense[:, at] @ w)[-10:]))
+    vocab = {f"t{i}": i for i in range(300)}
+    pick = lambda n: collections.Counter(min(299, int(rng.paretovariate(0.5)) - 1) for _ in range(n))
+    rows = [(i, i % 2, pick(rng.randrange(1, 12))) for i in range(900)]
+    index = toxicity.build(vocab, np.linspace(1, 3, 300), 0.5, rows)
+    assert 0 < len(index.rows) < 100 and len(index.begins) > 500
+    vectors = {}
+    for i, _, counts in rows:
+        at, w = index.weigh(counts)
+        vectors[i] = np.bincount(at, w, minlength=300)
+    dense = np.array([vectors[i] for i in index.doc_ids.tolist()])
+    queries = [index.weigh(pick(rng.randrange(0, 9))) for _ in range(70)]
+    for without in (None, [rng.randrange(900) for _ in queries]):
+        for i, ((at, w), (near, sims)) in enumerate(zip(queries, index.nearest_many(queries, 10, without))):
+            want = dense[:, at] @ w
+            if without:
+                want[without[i]] = 0
+            assert np.allclose(sims, want[near]) and len(set(near.tolist())) == len(near)
+            assert np.allclose(sims, np.sort(want)[::-1][:10][: len(sims)]) and len(sims) == min(10, (want > 1e-9).sum())
 
 
 def test_html():
