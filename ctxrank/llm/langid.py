@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, ship
+from .common import crc_mod, fresh, ship
 
 BUCKETS = 4096
 SAMPLE = 2048
@@ -140,14 +140,16 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = CL
     return Model(langs, np.array(lang_of), np.stack(centroids), np.array(limits), idf)
 
 
-SCHEMA = "lang_pred string, score double, similarity double, rejected boolean"
+MADE = ("lang_pred", "score", "similarity", "rejected")
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns in keep, with lang_pred, score (softmax of the languages' cosines), similarity and rejected."""
+def predict(docs: DataFrame, model: Model | None, keep: list[str], made: tuple[str, ...] = MADE) -> DataFrame:
+    """The columns in keep, with those named in made: the language, a score (softmax of the languages' cosines), the similarity and whether it is rejected."""
     ship(docs.sparkSession)
-    column = "text" if "text" in keep else "__text"
-    rows = docs.select(*keep) if column == "text" else docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    column = "text" if "text" in keep else fresh(docs, "whole")
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    if column != "text":
+        rows = docs.select(*rows.columns, F.col("text").cast("string").alias(column))
 
     def run(batches):
         for batch in batches:
@@ -169,10 +171,10 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                 rejected[at] = sims[np.arange(len(at)), centre] < model.limits[centre] * np.minimum(1, size / FULL)
                 for i, b in zip(at, best):
                     lang[i] = model.langs[b]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(near), pa.array(rejected)], [*keep, "lang_pred", "score", "similarity", "rejected"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(near), pa.array(rejected)], [*keep, *made])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{schema}, {SCHEMA}")
+    return rows.mapInArrow(run, f"{schema}, " + ", ".join(f"`{c}` {t}" for c, t in zip(made, ("string", "double", "double", "boolean"))))
 
 
 def identify(docs: DataFrame, held_out: Column | None = None) -> DataFrame:

@@ -189,17 +189,20 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each stretch of overlapping spans in text replaced by mark, and n_chars (if there) to match."""
-    found = materialize(annotate(docs), "annotated")
+    """docs with each stretch of overlapping spans in text replaced by mark, and n_chars (if there) to match.
+
+    A null text stays null; columns of any names stay as they are.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = materialize(annotate(docs.select(row, F.col("text").cast("string").alias("text"))), "annotated")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
         gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+        apart = s["start"] >= acc["at"]
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     done = F.aggregate("__spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
     out = found.withColumn("__spans", all_spans(floors(found))).withColumn("text", F.when(F.size("__spans") > 0, done).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    length = F.when(F.size("__spans") > 0, F.length("text").cast("bigint")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*[F.col("text") if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -311,6 +311,54 @@ def test_decontaminate(spark):
     assert decontaminate.find(df.limit(0), bench).count() == 0 and decontaminate.find(df, bench.limit(0)).count() == 0
 
 
+def brute_overlap(doc, item, least=0.75):
+    """(matched, start) of the best diagonal, None below least."""
+    split = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    d, i = split(doc), split(item)
+    best = max(((sum(0 <= s + j < len(d) and d[s + j] == w for j, w in enumerate(i)), -s) for s in range(-len(i) + 1, len(d))), default=(0, 0)) if i else (0, 0)
+    return (best[0], -best[1]) if i and best[0] >= least * len(i) else None
+
+
+def test_decontaminate_short_items(spark, monkeypatch):
+    """Items of 1 to 20 words with as many changed words as a fourth allows, against all diagonals; recall 0.9 at least, 1 up to 12 words."""
+    rng = random.Random(31)
+    items, docs = {}, {}
+    for n in range(1, 21):
+        for k in range(12):
+            key = 100 * n + k
+            item = [f"i{key}x{j}" for j in range(n)]
+            said = list(item)
+            for j in rng.sample(range(n), n // 4):
+                said[j] = "other"
+            items[key], docs[key] = " ".join(item), f"{words(rng, 9)} {' '.join(said)} {words(rng, 7)}"
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    want = {(d, i) for d in docs for i in items if d // 100 == i // 100 and brute_overlap(docs[d], items[i])}
+    for rows in (decontaminate.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+        monkeypatch.setattr(decontaminate, "BROADCAST_WORDS", rows)
+        got = {(r.doc_id, r.item_id): (r.matched, r.start_word) for r in decontaminate.find(frame(spark, docs), bench).collect()}
+        assert set(got) <= want and all(got[k] == brute_overlap(docs[k[0]], items[k[1]]) for k in got)
+        for n in range(1, 21):
+            of = [k for k in want if k[1] // 100 == n]
+            assert sum(k in got for k in of) >= (1 if n <= 12 else 0.9) * len(of), n
+
+
+def test_stages_with_odd_rows(spark):
+    """Nulls, empty texts, repeats, empty tables and columns whose names the stages use themselves."""
+    rows = [(i, t, "en", "s", 0, 1.0, "p", True, "k", "f", "b") for i, t in [(1, None), (2, ""), (3, "the house is on the hill and the sky is blue " * 3), (3, "the house is on the hill and the sky is blue " * 3), (None, "we went to the market and then we came home again"), (4, "password=abcDEF123456789 and the rest of the text is here")]]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, lang_pred string, rejected boolean, kept string, found_id string, __base string"
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = stage(spark, df, DATA)
+            got = out.collect()
+            if name != "byte_bpe":
+                assert out.columns == docs.columns and all(r["__base"] == "b" and r.kept == "k" and r.found_id == "f" and r.lang_pred == "p" for r in got)
+            assert name == "language_id" or len(got) == (0 if df is not docs else 5 if name == "near_duplicates" else 6)
+            if name == "secret_scan" and got:
+                assert sorted(str(r.text)[:8] for r in got if r.doc_id in (1, 4)) == ["None", "[SECRET]"]
+
+
 def test_language(spark):
     df = queries.op5_language_id(spark, DATA).toPandas().set_index("doc_id")
     docs = spark.read.parquet(f"{DATA}/documents.parquet").toPandas().set_index("doc_id")
