@@ -45,7 +45,7 @@ BYTE_CHARS = byte_chars()
 class Memo:
     """Ids of text pieces as bytes; at most `most` pieces of at most `longest` characters are kept, the first ones or (clears) the last."""
 
-    def __init__(self, encode_batch, most: int = 300_000, longest: int = 48, clears: bool = True):
+    def __init__(self, encode_batch, most: int = 200_000, longest: int = 48, clears: bool = True):
         self.encode_batch, self.most, self.longest, self.clears, self.known = encode_batch, most, longest, clears, {}
 
     def many(self, pieces: list[str]) -> list[bytes]:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
+BATCHES, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,18 +69,22 @@ def fresh(df: DataFrame, name: str) -> str:
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int = 32):
     """While plans run inside, workers get at most so many rows at a time: for rows that hold whole sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    before = spark.conf.get(BATCHES)
+    spark.conf.set(BATCHES, rows)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(BATCHES, before)
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, for workers that do not have it installed."""
+    """Sends this package to the executors once per application, for workers that do not have it installed.
+
+    Rows here hold whole texts: the session's batches for workers are lowered to BATCH_ROWS rows.
+    """
     sc = spark.sparkContext
+    if not 0 < int(spark.conf.get(BATCHES)) <= BATCH_ROWS:
+        spark.conf.set(BATCHES, BATCH_ROWS)
     if getattr(sc, "_ctxrank_shipped", None) == sc.applicationId:
         return
     target = f"{sc._temp_dir}/ctxrank_code.zip"

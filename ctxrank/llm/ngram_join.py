@@ -482,8 +482,17 @@ def results(table: DataFrame, label: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the least doc_id; rows that repeat a doc_id and text become one.
 
-    Rows with a null doc_id stay if nothing else tells their component: they are kept by their texts.
+    Rows with a null doc_id are kept if one of them has no linked document with an id. Texts are shuffled only for ids that are repeated.
     """
-    mark = fresh(docs, "kept")
-    kept = join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(kept, F.col("doc_id").cast("bigint").eqNullSafe(F.col(mark)), "left_semi").dropDuplicates(["doc_id", "text"])
+    found = join(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), F.count("*").alias("n"))
+    found = materialize(found.where("n > 1 or not kept"), "dropped")
+    again = found.where("kept")
+    mark = fresh(docs, "dropped_id")
+
+    def matching(ids: DataFrame, how: str) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias(mark))
+        return docs.join(F.broadcast(ids) if found_few else ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col(mark)), how)
+
+    found_few = found.count() <= BROADCAST_ROWS
+    once = matching(found, "left_anti")
+    return once if again.isEmpty() else once.unionByName(matching(again, "left_semi").dropDuplicates(["doc_id", "text"]))
