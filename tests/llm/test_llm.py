@@ -259,9 +259,54 @@ def test_passages_with_changes(spark):
     far[10:90:8] = ["z"] * 10
     own = [substring_dedup.Shingles(substring_dedup.word_hashes(" ".join(x))) for x in (a, far)]
     assert substring_dedup.passage(*own, 0, 0) is None
+
+
+def test_recall_of_near_passages(spark):
+    """Passages of 60 to 120 words with a word substituted, inserted or deleted in each 35 to 60 words: nine of ten at least; apart from them nothing."""
+    rng = random.Random(22)
+    more, kinds = {}, {}
+    for k in range(150):
+        n, kind = rng.randrange(60, 121), "sid"[k % 3]
+        a = [f"p{k}_{i}" for i in range(n)]
+        b = list(a)
+        for i in reversed([30 + rng.randrange(10)] if n < 80 else [n // 3, 2 * n // 3]):
+            b[i : i + (kind in "sd")] = {"s": ["new"], "i": ["new"], "d": []}[kind]
+        more[2 * k] = f"{words(rng, 70)} {' '.join(a)} {words(rng, rng.randrange(60))}"
+        more[2 * k + 1] = f"{words(rng, rng.randrange(50))} {' '.join(b)} {words(rng, 70)}"
+        kinds[k] = kind
+    more |= {1000 + i: words(rng, 300) for i in range(20)}
     got = {r.doc_id: r for r in substring_dedup.find(frame(spark, more)).collect()}
-    assert set(got) == set(more) and all(got[2 * k].class_id == got[2 * k + 1].class_id == 2 * k for k in range(len(cases)))
-    assert all(got[2 * k].spans == f"70:{70 + n}" for k, (n, _, _) in enumerate(cases))
+    for kind in "sid":
+        own = [k for k in kinds if kinds[k] == kind]
+        assert sum(2 * k in got and 2 * k + 1 in got for k in own) >= 0.9 * len(own), kind
+    assert all(i < 1000 and r.class_id == i // 2 * 2 for i, r in got.items())
+
+
+def test_repeats_word_by_word(spark, monkeypatch):
+    """Documents with a stretch of 50 equal words, by brute force: passages of frequent lines, hot tokens, copies and repeats inside a text."""
+    rng = random.Random(5)
+    lines = [words(rng, 17, 10**6) for _ in range(6)]
+    more = {i: " ".join(rng.choices(lines, k=rng.randrange(1, 6)) + [words(rng, rng.randrange(30), 10**6)] + rng.choices(lines, k=rng.randrange(1, 4))) for i in range(120)}
+    more |= {200: more[0], 201: more[0], 202: None, 203: words(rng, 49)}
+    more |= {204: f"{lines[0]} {words(rng, 20)} " * 8}
+    spots = {}
+    for i, t in more.items():
+        w = (t or "").split()
+        for k in range(len(w) - 49):
+            spots.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    label = {i: i for i in more}
+    for _ in range(8):
+        for m in spots.values():
+            least = min(label[i] for i in m)
+            for i in m:
+                label[i] = least
+    want = {i: label[i] for m in spots.values() if len({more[i] for i in m}) > 1 or len(m) > 1 for i in m}
+    for hot in (8, 1):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        got = {r.doc_id: r.class_id for r in substring_dedup.find(frame(spark, more)).collect()}
+        assert set(want) <= set(got)
+        assert all(got[i] == got[j] for i in want for j in want if want[i] == want[j])
+    assert substring_dedup.find(frame(spark, more).limit(0)).count() == 0
 
 
 def test_groups_of_frequent_stretches(spark):
