@@ -301,7 +301,7 @@ def test_repeats_word_by_word(spark, monkeypatch):
             for i in m:
                 label[i] = least
     want = {i: label[i] for m in spots.values() if len({more[i] for i in m}) > 1 or len(m) > 1 for i in m}
-    for hot in (8, 1):
+    for hot in (64, 1):
         monkeypatch.setattr(substring_dedup, "HOT", hot)
         got = {r.doc_id: r.class_id for r in substring_dedup.find(frame(spark, more)).collect()}
         assert set(want) <= set(got)
