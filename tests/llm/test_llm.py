@@ -251,13 +251,13 @@ def test_passages_with_changes(spark):
             b[i : i + (kind in "sd")] = {"s": ["new"], "i": ["new"], "d": [], "x": ["new", "words", "in", "it"]}[kind]
         before, after = words(rng, 70), words(rng, 70)
         more[2 * k], more[2 * k + 1] = f"{before} {' '.join(a)}", f"{' '.join(b)} {after}"
-        own = [substring_dedup.Shingles(substring_dedup.word_hashes(more[x])) for x in (2 * k, 2 * k + 1)]
+        own = [substring_dedup.Shingles.of(substring_dedup.word_hashes(more[x])) for x in (2 * k, 2 * k + 1)]
         for c in (3, n - 8):
             cb = own[1].at[own[0].values[70 + c]][0]
             assert substring_dedup.passage(*own, 70 + c, cb) == (70, n, 0, len(b))
     far = list(a)
     far[10:90:8] = ["z"] * 10
-    own = [substring_dedup.Shingles(substring_dedup.word_hashes(" ".join(x))) for x in (a, far)]
+    own = [substring_dedup.Shingles.of(substring_dedup.word_hashes(" ".join(x))) for x in (a, far)]
     assert substring_dedup.passage(*own, 0, 0) is None
 
 
@@ -334,7 +334,7 @@ def test_compact_windows():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 62, 90).astype(np.uint64) << np.uint64(1)
     cover = collections.Counter()
-    for left, c, right in substring_dedup.compact_windows(h, 12):
+    for left, c, right in zip(*(x.tolist() for x in substring_dedup.compact_windows(h, 12))):
         for i in range(left, c + 1):
             for j in range(max(c, i + 11), right + 1):
                 cover[i, j] += 1
