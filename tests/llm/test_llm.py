@@ -253,7 +253,7 @@ def test_passages_with_changes(spark):
         more[2 * k], more[2 * k + 1] = f"{before} {' '.join(a)}", f"{' '.join(b)} {after}"
         own = [substring_dedup.Shingles.of(substring_dedup.word_hashes(more[x])) for x in (2 * k, 2 * k + 1)]
         for c in (3, n - 8):
-            cb = own[1].at[own[0].values[70 + c]][0]
+            cb = own[1].s.tolist().index(own[0].s[70 + c])
             assert substring_dedup.passage(*own, 70 + c, cb) == (70, n, 0, len(b))
     far = list(a)
     far[10:90:8] = ["z"] * 10
