@@ -210,8 +210,8 @@ def walk(sets: list[np.ndarray], labels: list[int], order: Order, root: int | No
     alphabet, rank = order.arrange(alphabet)
     place = np.argsort(alphabet)
     by_hash = alphabet[place]
-    paths, rows = [], np.zeros((len(alphabet), m), dtype=np.uint8)
-    for i, s in enumerate(sets):
+    paths = []
+    for s in sets:
         at = np.minimum(np.searchsorted(by_hash, s), max(len(by_hash) - 1, 0))
         path = np.sort(place[at[by_hash[at] == s]]) if len(by_hash) else np.empty(0, dtype=np.int64)
         paths.append(path)
@@ -220,8 +220,18 @@ def walk(sets: list[np.ndarray], labels: list[int], order: Order, root: int | No
     n = np.array([len(sets[i]) for i in by_path])
     label = np.array([labels[i] for i in by_path])
     rest = np.array([len(p) for p in paths])  # of each probe, shared shingles in all
-    for i, p in enumerate(paths):
-        rows[p, i] = 1
+    # The members that have a shingle, for each shingle: as large as the sets themselves.
+    ids = np.concatenate(paths) if m else np.empty(0, dtype=np.int64)
+    members = np.repeat(np.arange(m), rest)[np.argsort(ids, kind="stable")]
+    begins = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=len(alphabet)))])
+
+    def added(path: np.ndarray, probes: np.ndarray) -> np.ndarray:
+        """How many shingles of a stretch of the path each probe has."""
+        sizes = begins[path + 1] - begins[path]
+        ends = np.cumsum(sizes)
+        at = np.repeat(begins[path] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(members[at], minlength=m)[probes]
+
     start = -1
     if root is not None and len(found := np.flatnonzero(alphabet == np.uint64(root))):
         start = int(found[0])
@@ -254,9 +264,9 @@ def walk(sets: list[np.ndarray], labels: list[int], order: Order, root: int | No
             if start >= 0:  # at the root nothing may be shared so far
                 before = int(np.searchsorted(first[at:stop], start))
                 if at + before < stop and first[at + before] == start:
-                    keep = shared + rows[np.ix_(first[at : at + before], probes)].sum(axis=0, dtype=np.int64) == 0
+                    keep = shared + added(first[at : at + before], probes) == 0
                     probes, shared = probes[keep], shared[keep]
-            shared = shared + rows[np.ix_(first[at:stop], probes)].sum(axis=0, dtype=np.int64)
+            shared = shared + added(first[at:stop], probes)
             at = stop
         if not len(probes):
             continue
