@@ -24,7 +24,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from .common import keyed_text, ship
+from .common import keyed_text, ship, trimmed
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: White space other than the ASCII kinds: texts that hold it are encoded in one piece.
@@ -164,7 +164,7 @@ def encode(docs: DataFrame, vocab_path: str | None = None, with_offsets: bool =
             yield pa.RecordBatch.from_arrays(out, names)
 
     more = ", starts array<bigint>, ends array<bigint>" if with_offsets else ""
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, f"doc_id bigint, ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return keyed_text(docs, id_col, text_col).mapInArrow(trimmed(run), f"doc_id bigint, ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 
 
 def decode(encoded: DataFrame, vocab_path: str | None = None) -> DataFrame:
@@ -178,4 +178,4 @@ def decode(encoded: DataFrame, vocab_path: str | None = None) -> DataFrame:
             texts = [bpe.decode(np.frombuffer(x.as_py() or b"", dtype="<u4").tolist()) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id bigint, text string")

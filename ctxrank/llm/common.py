@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,6 +97,18 @@ def ship(spark: SparkSession) -> None:
     sc._ctxrank_shipped = sc.applicationId
 
 
+def trimmed(run):
+    """run, after which the worker gives the memory that it has freed back: workers stay for later stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL(None).malloc_trim(0)
+        pa.default_memory_pool().release_unused()
+
+    return whole
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

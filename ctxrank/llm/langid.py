@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fresh, ship
+from .common import crc_mod, fresh, ship, trimmed
 
 BUCKETS = 4096
 SAMPLE = 2048
@@ -110,7 +110,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = CL
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, 2 * BUCKETS)), pa.array(np.concatenate([[n], total]))], ["feature", "n"])
 
     df = np.zeros(2 * BUCKETS + 1)
-    got = rows.select("text").mapInArrow(seen, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    got = rows.select("text").mapInArrow(trimmed(seen), "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     df[got.feature + 1] = got.n
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
 
@@ -124,7 +124,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE, clusters: int = CL
             a, b, c = zip(*kept) if kept else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.binary())], ["doc_id", "lang", "v"])
 
-    got = chosen.mapInArrow(vectors, "doc_id bigint, lang string, v binary").toArrow().to_pandas().sort_values(["lang", "doc_id", "v"])
+    got = chosen.mapInArrow(trimmed(vectors), "doc_id bigint, lang string, v binary").toArrow().to_pandas().sort_values(["lang", "doc_id", "v"])
     langs, lang_of, centroids, limits = sorted(got.lang.unique()), [], [], []
     for k, lang in enumerate(langs):
         x = np.stack([np.frombuffer(v, dtype=np.float16) for v in got.v[got.lang == lang]]).astype(np.float32)
@@ -174,7 +174,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], made: tuple[s
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(near), pa.array(rejected)], [*keep, *made])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)])
-    return rows.mapInArrow(run, f"{schema}, " + ", ".join(f"`{c}` {t}" for c, t in zip(made, ("string", "double", "double", "boolean"))))
+    return rows.mapInArrow(trimmed(run), f"{schema}, " + ", ".join(f"`{c}` {t}" for c, t in zip(made, ("string", "double", "double", "boolean"))))
 
 
 def identify(docs: DataFrame, held_out: Column | None = None) -> DataFrame:

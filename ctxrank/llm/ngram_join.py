@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, free, fresh, keyed_text, materialize, ship, small_batches
+from .common import components, free, fresh, keyed_text, materialize, ship, small_batches, trimmed
 from .shingles import shingles_of
 
 HOT_LIST = 1 << 18
@@ -149,7 +149,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         if held:
             yield counted()
 
-    return materialize(docs.mapInArrow(run, "kind int, doc_id bigint, n bigint, key bigint, bits binary"), "sets")
+    return materialize(docs.mapInArrow(trimmed(run), "kind int, doc_id bigint, n bigint, key bigint, bits binary"), "sets")
 
 
 def hot_shingles(table: DataFrame, most: int = HOT_LIST) -> np.ndarray:
@@ -189,7 +189,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray, copied: dict[int, int | None]) ->
                 h, *rest = (np.concatenate(c) for c in zip(*cols))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *map(pa.array, rest)], ["h", "key", "n", "at", "hot"])
 
-    return docs.mapInArrow(run, "h bigint, key bigint, n int, at int, hot boolean")
+    return docs.mapInArrow(trimmed(run), "h bigint, key bigint, n int, at int, hot boolean")
 
 
 def possible(n1, at1, n2, at2):
@@ -304,7 +304,7 @@ def linked(branches: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarr
             seen = new.keys() | (seen if len(seen) < 200_000 else set())
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([s.tobytes() for s in new.values()], pa.binary())], ["key", "s"])
 
-    found = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").select("text").mapInArrow(sets, "key bigint, s binary")
+    found = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").select("text").mapInArrow(trimmed(sets), "key bigint, s binary")
 
     def run(batches):
         order, held, at = Order(hot), {}, None
@@ -326,7 +326,7 @@ def linked(branches: DataFrame, table: DataFrame, docs: DataFrame, hot: np.ndarr
 
     with small_batches(spark, 64):
         rows = found.join(F.broadcast(branches) if small else branches, "key").select("branch", "root", "key", "label", "s")
-        links = materialize(rows.repartition("branch").sortWithinPartitions("branch").mapInArrow(run, "a bigint, b bigint"), "links")
+        links = materialize(rows.repartition("branch").sortWithinPartitions("branch").mapInArrow(trimmed(run), "a bigint, b bigint"), "links")
     free(branches, wanted)
     return links
 
@@ -369,7 +369,7 @@ def near(pairs: DataFrame, table: DataFrame) -> DataFrame:
             kept = pa.array([7 * differences(sa, sb) <= na + nb for na, sa, nb, sb in zip(*cols)], pa.bool_())
             yield batch.select(names).filter(kept)
 
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "__na", "__sa", "__nb", "__sb").mapInArrow(run, pairs.schema), "near")
+    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select(*names, "__na", "__sa", "__nb", "__sb").mapInArrow(trimmed(run), pairs.schema), "near")
 
 
 def stars(star: DataFrame) -> DataFrame:
@@ -439,7 +439,7 @@ def likely(rows: DataFrame, table: DataFrame) -> DataFrame:
             yield kept()
 
     rows = rows.join(bits, "key").select("branch", "root", "key", "label", "n", "bits").repartition("branch").sortWithinPartitions("branch")
-    return rows.mapInArrow(run, "branch bigint, root bigint, key bigint, label bigint")
+    return rows.mapInArrow(trimmed(run), "branch bigint, root bigint, key bigint, label bigint")
 
 
 def with_partner(labels: list[int], n: np.ndarray, bits: list[bytes]) -> np.ndarray:

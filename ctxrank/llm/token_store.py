@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_CHARS, Memo
-from .common import free, keyed_text, materialize, ship, small_batches
+from .common import free, keyed_text, materialize, ship, small_batches, trimmed
 
 VOCAB = "word_bpe_49k.json"
 END = 1
@@ -206,7 +206,7 @@ def encode_ids(docs: DataFrame, vocab_path: str | None = None, end: int | None =
 
     ordered = keyed_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     with small_batches(spark, 512):
-        return materialize(ordered.mapInArrow(run, "part bigint, seq bigint, doc_id bigint, begin bigint, n bigint, ids binary"), "ids")
+        return materialize(ordered.mapInArrow(trimmed(run), "part bigint, seq bigint, doc_id bigint, begin bigint, n bigint, ids binary"), "ids")
 
 
 def widen(raw: bytes) -> np.ndarray:
@@ -228,7 +228,7 @@ def id_counts(encoded: DataFrame) -> dict[int, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    counted = encoded.where("seq < 0").select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = encoded.where("seq < 0").select("ids").mapInArrow(trimmed(run), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return {int(i): int(n) for i, n in counted.toArrow().to_pandas().itertuples(index=False)}
 
 
@@ -258,7 +258,7 @@ def write(encoded: DataFrame, lengths: dict[int, int], block_ids: int = BLOCK_ID
         if held:
             yield block()
 
-    return materialize(encoded.where("seq >= 0").select("part", "begin", "doc_id", "n", "ids").mapInArrow(run, "part bigint, begin bigint, doc_ids array<bigint>, n array<bigint>, checkpoints array<bigint>, bits binary"), "blocks")
+    return materialize(encoded.where("seq >= 0").select("part", "begin", "doc_id", "n", "ids").mapInArrow(trimmed(run), "part bigint, begin bigint, doc_ids array<bigint>, n array<bigint>, checkpoints array<bigint>, bits binary"), "blocks")
 
 
 def read(blocks: DataFrame, lengths: dict[int, int], offsets: dict[int, int], keep_ids: bool = True) -> DataFrame:
@@ -276,7 +276,7 @@ def read(blocks: DataFrame, lengths: dict[int, int], offsets: dict[int, int], ke
                 cols = [pa.array(doc_ids, pa.int64()), pa.array(offsets[part] + begin + ends - n), pa.array(n), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols + [pa.array(parts, pa.binary())] * keep_ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return blocks.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
+    return blocks.mapInArrow(trimmed(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * keep_ids)
 
 
 def store(docs: DataFrame, vocab_path: str | None = None, keep_ids: bool = True) -> DataFrame:

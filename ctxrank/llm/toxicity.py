@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keyed_text, ship
+from .common import crc_mod, keyed_text, ship, trimmed
 
 EXAMPLES = 4000
 CHI2 = 20.0
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, examples: int = EXAMP
             cols = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.string())))], ["doc_id", "toxic", "words"])
 
-    held = got.mapInArrow(run, "doc_id bigint, toxic int, words array<string>").toArrow()
+    held = got.mapInArrow(trimmed(run), "doc_id bigint, toxic int, words array<string>").toArrow()
     held = [(i, y, Counter(w)) for i, y, w in zip(*(held.column(k).to_pylist() for k in ("doc_id", "toxic", "words")))]
     in_examples = Counter(w for r in held for w in r[2]) if 0 < total.pos < total.n else Counter()
     vocab = {w: i for i, w in enumerate(sorted(in_examples))}
@@ -255,4 +255,4 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, th
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
-    return docs.withColumn("held_out", held_out).select("doc_id", "held_out", "text").mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>")
+    return docs.withColumn("held_out", held_out).select("doc_id", "held_out", "text").mapInArrow(trimmed(run), "doc_id bigint, held_out boolean, score double, predicted int, evidence array<struct<doc_id:bigint,similarity:double,toxic:int>>")
