@@ -39,11 +39,12 @@ def windows(lines: list[str], chars: int = CHUNK_CHARS) -> list[tuple[int, int,
 
 
 def enclosing(lines: list[str], start: int) -> str | None:
-    """The nearest definition before a line that is less indented, or equally so on the line just before; with its class."""
-    symbol, line = re.compile(SYMBOL), lines[start]
-    depth = len(line) - len(line.lstrip())
-    if depth == 0:
+    """The nearest definition before a window that is less indented than its first line with text (of twelve), or equally so on the line just before; with its class."""
+    symbol = re.compile(SYMBOL)
+    line = next((x for x in lines[start : start + 12] if x.strip()), None)
+    if line is None:
         return None
+    depth = len(line) - len(line.lstrip())
     for i in range(start - 1, -1, -1):
         m = symbol.match(lines[i])
         if not m:

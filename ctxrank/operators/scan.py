@@ -40,7 +40,7 @@ def folder_verdict(include: Iterable[str], exclude: Iterable[str], ignored: Colu
     """For a folder: dropped (uncounted), ignored, pruned or kept. Reachability is one regular expression per include."""
     name = F.element_at(F.split("folder", "/"), -1)
     return (
-        F.when(name.startswith(".git") | globs.matches(F.col("folder"), exclude) | globs.matches(F.concat("folder", F.lit("/x")), [g for g in exclude if "/" in g]), "dropped")
+        F.when(name.startswith(".git") | globs.matches(F.concat("folder", F.lit("/x")), exclude), "dropped")
         .when(F.lit(False) if ignored is None else ignored, "ignored")
         .when(~F.col("folder").rlike(reach_regex(include)), "pruned_dirs")
         .otherwise("kept")

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ctxrank.operators import chunks as ch
-from ctxrank.operators import identity, rank, refs
+from ctxrank.operators import identity, rank, refs, scan
 from ctxrank.plans import retrieve
 from ctxrank.streaming import sessions
 
@@ -111,3 +111,18 @@ def test_gate_stream_equals_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("gated").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.event_id, r.allowed) for r in spark.table("gated").collect()} == batch
+
+
+def test_enclosing_of_blank_and_top_level_starts():
+    lines = ["def outer():", "    x = 1", "", "y = 2", "class C:", "    def m(self):", "", "", "        z = 3", "", "w = 4"]
+    assert ch.enclosing(lines, 2) is None  # opens on a blank line before top-level code
+    assert ch.enclosing(lines, 6) == "C.m"  # the first line with text counts
+    assert ch.enclosing(["def f():", "x = 1"], 1) == "f"  # equally indented, just after a definition
+    assert ch.enclosing(["def f():", "", ""], 1) is None
+
+
+def test_folders_are_judged_by_what_is_in_them(spark):
+    """An exclude that fits a folder's own name, but nothing below it, leaves the folder in."""
+    df = spark.createDataFrame([("build1",), ("foo.map",), ("node_modules",), ("a/.git",)], "folder string")
+    got = {r.folder: r.v for r in df.select("folder", scan.folder_verdict(["**/*"], ["build*", "**/*.map", "**/node_modules/**"]).alias("v")).collect()}
+    assert got == {"build1": "kept", "foo.map": "kept", "node_modules": "dropped", "a/.git": "dropped"}
