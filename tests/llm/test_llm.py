@@ -476,6 +476,50 @@ def test_cut_is_minimal():
         assert price(html_text.cut(costs, edges)) < best + 0.1
 
 
+def test_pages_by_brute_force():
+    """Whole pages: the labels cost no more than the best of all labellings."""
+    rng = random.Random(18)
+    html = lambda: "".join(rng.choice(["<nav><a>w x</a></nav>", "<div>" + words(rng, rng.randrange(1, 30)) + "</div>", "<article><p>" + words(rng, rng.randrange(1, 9)) + ".</article>", "<ul><li>a<li>b, c</ul>"]) for _ in range(rng.randrange(1, 6)))
+    for _ in range(60):
+        found, model = html_text.blocks(html()), html_text.Model()
+        marked = any(b.towards for b in found)
+        costs = [html_text.terminals(b, marked, model) for b in found]
+        ties = [(i, j, model.ties[r]) for i, j, r in html_text.neighbours(found)]
+        price = lambda x: sum(max(c, 0) if not k else max(-c, 0) for c, k in zip(costs, x)) + sum(c for a, b, c in ties if x[a] != x[b])
+        best = min(price([m >> i & 1 for i in range(len(found))]) for m in range(1 << len(found)))
+        assert price(html_text.chosen(found, model)) < best + 0.2
+
+
+def test_cut_on_held_out_pages(spark):
+    """Form and ties alone, without markup, on pages that were not learned from: the cut does better than the classifier."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    seen = collections.Counter()
+    for x in pages[::2]:
+        seen.update(html_text.examples(x))
+    model = html_text.learn(seen)
+    hits = collections.Counter()
+    for x in pages[1::2]:
+        found = html_text.blocks(x)
+        for way, got in (("sign", [html_text.terminals(b, False, model, True) > 0 for b in found]), ("cut", html_text.chosen(found, model, True))):
+            hits.update((way, html_text.label_of(b), k) for b, k in zip(found, got))
+    f1 = lambda way: 2 * hits[way, True, True] / (2 * hits[way, True, True] + hits[way, False, True] + hits[way, True, False])
+    assert f1("cut") > 0.97 and f1("cut") > f1("sign")
+    assert html_text.learn({}).weights == pytest.approx(html_text.PRIOR) and html_text.learn({}).ties == html_text.Model().ties
+
+
+def test_extract_pages(spark):
+    article = "<article><h1>A</h1><p>" + "word, " * 40 + "end.</article><nav><a>Home</a></nav>"
+    rows = [(1, "u", article, "x", 5), (1, "u", article, "x", 5), (2, None, None, None, None), (None, "v", "", "y", 1), (3, "w", "<div>" * 3000 + article, "z", 2)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars bigint")
+    got = html_text.extract_pages(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    found = sorted(map(tuple, got.collect()), key=str)
+    body = "A\n\n" + "word, " * 40 + "end."
+    assert found == sorted([(1, "u", body, len(body))] * 2 + [(2, None, "", 0), (None, "v", "", 0), (3, "w", body, len(body))], key=str)
+    assert html_text.extract_pages(pages.limit(0)).count() == 0
+    assert html_text.fit(pages, sample=1).ties  # a sample, whatever it holds
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 140)]
