@@ -52,6 +52,8 @@ BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "
 SAMPLE = 5000
 #: Log-odds of content in a block of a page with an article or main part that lies outside it.
 OUTSIDE = -3.0
+#: And in any block of a page that marks no such part: its content has no other place.
+UNMARKED = 1.5
 ITEMS = {"li", "dt", "dd", "td", "th"}
 #: Weights before any page is seen: a constant; 1, 2, 3, 5, 9, 17, 33 words and more; share of the text in links from 0, 0.01, 0.34,
 #: 0.67 on; an end of a sentence; a comma; heading, item of a list or table, other (paragraphs or not: authors differ).
@@ -239,7 +241,7 @@ def terminals(b: Block, marked: bool, model: Model, hidden: bool = False) -> flo
     own = sum(model.weights[i] for i in active(form(b)))
     if hidden:
         return own
-    return own + min(b.towards, 12.0) - b.away + (OUTSIDE if marked and not b.towards else 0.0)
+    return own + min(b.towards, 12.0) - b.away + (0.0 if b.towards else OUTSIDE if marked else UNMARKED)
 
 
 def label_of(b: Block) -> bool | None:
