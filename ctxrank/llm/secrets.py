@@ -4,10 +4,13 @@ Base kinds, leftmost and non-overlapping each: assign, access, hex (PATTERNS). T
 `random`: runs of at least LEAST code characters that mix letters and digits and lie in no base span. Each gets
 an encoding by its characters (hex, base32, base62, base64 or base64url) and, within that encoding's alphabet, three tests of the hypothesis that its
 symbols are drawn at random: chi-squared for uniformity (Wilson-Hilferty), runs around the alphabet's middle, and serial
-correlation of neighbours. The combined p-value is three times the least. Within a class of length, a
-Benjamini-Hochberg step-up over all documents at level FDR separates runs that are not random; a run counts as a
-secret when it survives and its p-value also exceeds its class's floor, which is higher for short runs, where
-the tests have little power.
+correlation of neighbours. The least of the three p-values is combined by Sidak's rule, so that p is uniform for random runs.
+
+A false discovery here is a run called a secret that is not random. Within a class of length, random runs spread
+evenly over p and others gather near 0: twice the runs with p over a half estimates the random ones, and what lies over
+a limit beyond their even share is the number of false secrets. The limit of a class is the least one, from its floor on, at which
+that excess is at most FDR of the runs over it, give or take SLACK standard errors of a count; short classes, where the
+tests have little power, have higher floors and limits. Runs that pass all tests by chance of their letters are not told apart.
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; repeated rows
 stay as they are; an empty table gives no rows; other columns are ignored by scan() and kept by redact().
@@ -43,6 +46,7 @@ ENCODINGS = (
     ("[A-Za-z0-9+/_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 FDR = 0.05
+SLACK = 1.64
 #: First length of each class, and the least p-value of a secret in it.
 CLASSES = ((20, 0.05), (28, 0.03), (40, 0.02), (64, 0.01), (128, 0.005))
 BINS = 200
@@ -78,7 +82,7 @@ def tail(z: Column) -> Column:
 
 
 def p_value(token: Column) -> Column:
-    """Three times the least p-value of the battery, at most 1."""
+    """The least p-value of the battery, combined by Sidak's rule."""
     body = F.rtrim(token, F.lit("="))
     alphabet = F.coalesce(*[F.when(F.regexp_like(body, F.lit(f"^{chars}$")), F.lit(letters)) for chars, letters in ENCODINGS])
     plain = F.translate(body, "-_", "+/")
@@ -116,7 +120,7 @@ def p_value(token: Column) -> Column:
         across = F.aggregate(x["pairs"], F.lit(0.0), lambda a, y: a + (y["a"] - x["mean"]) * (y["b"] - x["mean"]))
         within = F.aggregate(x["v"], F.lit(0.0), lambda a, y: a + (y - x["mean"]) * (y - x["mean"]))
         p3 = F.when(within <= 0, F.lit(0.0)).otherwise(tail((across / F.greatest(within, F.lit(1e-9)) + 1 / n) * F.sqrt(n)))
-        return F.least(F.lit(1.0), 3 * F.least(p1, p2, p3))
+        return 1 - F.pow(1 - F.least(F.lit(1.0), p1, p2, p3), F.lit(3.0))
 
     return F.element_at(F.transform(held, tests), 1)
 
@@ -149,23 +153,25 @@ def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def floors(annotated: DataFrame) -> list[float]:
-    """The p-value that a secret must exceed, by class: the larger of the class's floor and the step-up's cut.
-
-    The step-up works on counts in BINS bins of the p-value's logarithm, at most BINS rows a class.
-    """
+    """The p-value that a secret must exceed, by class; from counts in BINS bins of its logarithm, at most BINS rows a class."""
     counted = annotated.select(F.explode("__more").alias("x")).groupBy(F.col("x.class").alias("c"), F.col("x.bin").alias("b")).agg(F.count("*").alias("n")).collect()
-    out = []
-    for c, (_, floor) in enumerate(CLASSES):
-        by = {r.b: r.n for r in counted if r.c == c}
-        total, below, cut = sum(by.values()), sum(by.values()), 0.0
-        for b in range(BINS):  # from the largest p-values on: the first bin whose upper end passes is the cut
-            upper = 10.0 ** (-b * 10 / BINS)
-            if total and below and upper <= FDR * below / total:
-                cut = upper
-                break
-            below -= by.get(b, 0)
-        out.append(max(floor, cut))
-    return out
+    return [limit({r.b: r.n for r in counted if r.c == c}, floor) for c, (_, floor) in enumerate(CLASSES)]
+
+
+def limit(by: dict[int, int], floor: float) -> float:
+    """The limit of a class, given the number of its runs in each bin (bin b: p from edge(b + 1) to edge(b))."""
+    edge = lambda b: 10.0 ** (-b * 10 / BINS)
+    half = next(b for b in range(BINS) if edge(b) < 0.55)
+    over, above = [0], 0
+    for b in range(half * 8):
+        above += by.get(b, 0)
+        over.append(above)
+    random = over[half] / (1 - edge(half))
+    for b in range(len(over) - 1, half, -1):
+        excess = over[b] - random * (1 - edge(b))
+        if edge(b) >= floor and excess <= FDR * over[b] + SLACK * over[b] ** 0.5:
+            return edge(b)
+    return max(floor, edge(half))
 
 
 def all_spans(least: list[float]) -> Column:

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -122,6 +123,49 @@ def test_secrets(spark, texts):
     assert clean[13] == '[SECRET]" [SECRET] [SECRET] [SECRET]' and clean[1] is None and clean[6] == texts[6]
 
 
+def battery(token):
+    """The p-value of secrets.p_value, computed anew."""
+    body = token.rstrip("=")
+    letters = next(a for chars, a in secrets.ENCODINGS if re.fullmatch(chars, body))
+    v = [letters.index(c) + 1 for c in (body.replace("-", "+").replace("_", "/") if letters.endswith("+/") else body)]
+    n, k, normal = len(v), len(letters), lambda z: math.erfc(abs(z) / math.sqrt(2))
+    chi2, df = sum((v.count(x) - n / k) ** 2 / (n / k) for x in range(1, k + 1)), k - 1
+    chi2 = df + (chi2 - df) / math.sqrt((n - 1) / n)
+    z = (np.cbrt(max(chi2, 0) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    p1 = normal(z) / 2 if z > 0 else 1 - normal(z) / 2
+    side = [x * 2 > k for x in v]
+    high, low = sum(side), n - sum(side)
+    runs = 1 + sum(a != b for a, b in zip(side, side[1:]))
+    var = 2 * high * low * (2 * high * low - n) / (n * n * (n - 1))
+    p2 = normal((runs - 2 * high * low / n - 1) / math.sqrt(var)) if var > 0 else 1.0 if high * low else 0.5 ** (n - 1)
+    d = np.array(v) - np.mean(v)
+    p3 = normal(((d[:-1] @ d[1:]) / (d @ d) + 1 / n) * math.sqrt(n)) if d @ d else 0.0
+    return 1 - (1 - min(p1, p2, p3)) ** 3
+
+
+def test_battery_by_brute_force(spark):
+    rng = random.Random(21)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randrange(20, 150))) for _, a in secrets.ENCODINGS for _ in range(12)] + ["a1" * 12, "a" * 30, "0" * 10 + "F" * 20, "abc-DEF_123" * 4, "Zz9KqLm3XvT7pRw2YbN8cHd5=="]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.p_value(F.col("t")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(battery(r.t), abs=2e-6), r.t
+
+
+def test_false_secrets(spark):
+    """Random runs are found and, of what is called a secret, few are not random, however many such runs there are."""
+    rng, alphabet = random.Random(22), secrets.ENCODINGS[5][1]
+    syllables = ["tion", "ing", "her", "and", "the", "ent", "ment", "over", "Data", "List", "user", "Name", "Set", "file", "2024", "01"]
+    for n, many in ((36, 300), (36, 3000), (50, 3000)):
+        true = {i: "".join(rng.choice(alphabet) for _ in range(n)) for i in range(400)}
+        other = {1000 + i: "".join(rng.choice(syllables) for _ in range(n))[:n] for i in range(many)}
+        rows = [(i, f"so {t} it is") for i, t in (true | other).items()]
+        found = [r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.n_random]
+        right = sum(i < 1000 for i in found)
+        assert right > 0.85 * len(true) and len(found) - right <= 0.1 * len(found), (n, many, right, len(found))
+    assert secrets.limit({}, 0.05) >= 0.05
+    assert secrets.limit({b: 0 for b in range(200)} | {0: 300, 3: 300, 5: 2000}, 0.01) >= 0.01
+
+
 def test_fingerprint(spark, texts):
     got = {r.doc_id: r for r in fingerprint.fingerprint(frame(spark, texts, [6])).collect()}
     assert set(got) == set(texts)
