@@ -6,11 +6,12 @@ an encoding by its characters (hex, base32, base62, base64 or base64url) and, wi
 symbols are drawn at random: chi-squared for uniformity (Wilson-Hilferty), runs around the alphabet's middle, and serial
 correlation of neighbours. The least of the three p-values is combined by Sidak's rule, so that p is uniform for random runs.
 
-A false discovery here is a run called a secret that is not random. Within a class of length, random runs spread
-evenly over p and others gather near 0: twice the runs with p over a half estimates the random ones, and what lies over
-a limit beyond their even share is the number of false secrets. The limit of a class is the least one, from its floor on, at which
-that excess is at most FDR of the runs over it, give or take SLACK standard errors of a count; short classes, where the
-tests have little power, have higher floors and limits. Runs that pass all tests by chance of their letters are not told apart.
+A false discovery here is a run called a secret that is not random. Within a class of length, runs that are not random
+gather near 0, and those with p over a half are taken for random. How p is spread for random runs of the class (evenly
+but for the short ones' coarse counts) is read off NULL generated runs for each one found, of its length and alphabet. What lies over a limit beyond the share
+that the random ones should have there is the number of false secrets. The limit of a class is the least one, from its
+floor on, at which that excess is at most FDR of the runs over it, give or take SLACK standard errors of a count.
+Runs that pass all tests by chance of their letters are not told apart.
 
 Defined results: null and empty texts have no spans; positions are code points, ends exclusive; repeated rows
 stay as they are; an empty table gives no rows; other columns are ignored by scan() and kept by redact().
@@ -46,7 +47,8 @@ ENCODINGS = (
     ("[A-Za-z0-9+/_-]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
 )
 FDR = 0.05
-SLACK = 1.64
+SLACK = 1.0
+NULL = 3
 #: First length of each class, and the least p-value of a secret in it.
 CLASSES = ((20, 0.05), (28, 0.03), (40, 0.02), (64, 0.01), (128, 0.005))
 BINS = 200
@@ -81,10 +83,14 @@ def tail(z: Column) -> Column:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
 
 
+def alphabet_of(body: Column) -> Column:
+    return F.coalesce(*[F.when(F.regexp_like(body, F.lit(f"^{chars}$")), F.lit(letters)) for chars, letters in ENCODINGS])
+
+
 def p_value(token: Column) -> Column:
     """The least p-value of the battery, combined by Sidak's rule."""
     body = F.rtrim(token, F.lit("="))
-    alphabet = F.coalesce(*[F.when(F.regexp_like(body, F.lit(f"^{chars}$")), F.lit(letters)) for chars, letters in ENCODINGS])
+    alphabet = alphabet_of(body)
     plain = F.translate(body, "-_", "+/")
     text = F.when(alphabet.endswith("+/"), plain).otherwise(body)
     base = F.struct(alphabet.alias("a"), F.filter(F.split(text, ""), lambda c: c != "").alias("c"))
@@ -137,7 +143,7 @@ def of_kind(spans: Column, kind: int) -> Column:
 
 
 def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with __base array<struct<start,kind,end>> and __more array<struct<start,end,class,bin,p>>."""
+    """docs with __base array<struct<start,kind,end>> and __more array<struct<start,end,class,bin,p,null>>."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = []
     for i, (kind, pattern, group, least) in enumerate(PATTERNS):
@@ -146,30 +152,41 @@ def annotate(docs: DataFrame, text_col: str = "text") -> DataFrame:
     docs = docs.withColumn("__base", F.array_sort(F.concat(*base)))
     more = located(text, CANDIDATE, lambda m: F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[A-Za-z]")))
     more = F.filter(more, lambda x: ~F.exists(F.col("__base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    scored = F.transform(more, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), length_class(F.length(x["m"])).alias("class"), p_value(x["m"]).alias("p")))
-    bin_of = lambda p: F.least(F.lit(BINS - 1), F.floor(-F.log10(F.greatest(p, F.lit(1e-12))) * (BINS / 10))).cast("int")
-    scored = F.transform(scored, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["class"].alias("class"), bin_of(x["p"]).alias("bin"), x["p"].alias("p")))
+    scored = F.transform(more, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), length_class(F.length(x["m"])).alias("class"), p_value(x["m"]).alias("p"), F.array(*[bin_of(p_value(random_like(x["m"], x["start"] * NULL + r))) for r in range(NULL)]).alias("null")))
+    scored = F.transform(scored, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["class"].alias("class"), bin_of(x["p"]).alias("bin"), x["p"].alias("p"), x["null"].alias("null")))
     return docs.withColumn("__more", scored)
 
 
+def bin_of(p: Column) -> Column:
+    return F.least(F.lit(BINS - 1), F.floor(-F.log10(F.greatest(p, F.lit(1e-12))) * (BINS / 10))).cast("int")
+
+
+def random_like(token: Column, seed: Column) -> Column:
+    """A run of the token's length and alphabet, its letters drawn by hashes."""
+    body = F.rtrim(token, F.lit("="))
+    held = F.array(F.struct(body.alias("b"), alphabet_of(body).alias("a")))
+    letter = lambda x, i: F.substring(x["a"], (F.pmod(F.xxhash64(x["b"], seed, i), F.length(x["a"])) + 1).cast("int"), F.lit(1))
+    return F.element_at(F.transform(held, lambda x: F.array_join(F.transform(F.sequence(F.lit(1), F.length(x["b"])), lambda i: letter(x, i)), "")), 1)
+
+
 def floors(annotated: DataFrame) -> list[float]:
     """The p-value that a secret must exceed, by class; from counts in BINS bins of its logarithm, at most BINS rows a class."""
-    counted = annotated.select(F.explode("__more").alias("x")).groupBy(F.col("x.class").alias("c"), F.col("x.bin").alias("b")).agg(F.count("*").alias("n")).collect()
-    return [limit({r.b: r.n for r in counted if r.c == c}, floor) for c, (_, floor) in enumerate(CLASSES)]
+    tally = lambda bins: annotated.select(F.explode("__more").alias("x")).select(F.col("x.class").alias("c"), F.explode(bins).alias("b")).groupBy("c", "b").agg(F.count("*").alias("n")).collect()
+    seen, null = tally(F.array("x.bin")), tally("x.null")
+    return [limit({r.b: r.n for r in seen if r.c == c}, {r.b: r.n for r in null if r.c == c}, floor) for c, (_, floor) in enumerate(CLASSES)]
 
 
-def limit(by: dict[int, int], floor: float) -> float:
-    """The limit of a class, given the number of its runs in each bin (bin b: p from edge(b + 1) to edge(b))."""
+def limit(by: dict[int, int], null: dict[int, int], floor: float) -> float:
+    """The limit of a class, given its runs and the random ones by bin (bin b: p from edge(b + 1) to edge(b))."""
     edge = lambda b: 10.0 ** (-b * 10 / BINS)
     half = next(b for b in range(BINS) if edge(b) < 0.55)
-    over, above = [0], 0
-    for b in range(half * 8):
-        above += by.get(b, 0)
-        over.append(above)
-    random = over[half] / (1 - edge(half))
-    for b in range(len(over) - 1, half, -1):
-        excess = over[b] - random * (1 - edge(b))
-        if edge(b) >= floor and excess <= FDR * over[b] + SLACK * over[b] ** 0.5:
+    over = lambda counts, b: sum(n for x, n in counts.items() if x < b)
+    if not by or not over(null, half):
+        return floor
+    random = over(by, half) / over(null, half)
+    for b in range(half * 8, half, -1):
+        excess = over(by, b) - random * over(null, b)
+        if edge(b) >= floor and excess <= FDR * over(by, b) + SLACK * over(by, b) ** 0.5:
             return edge(b)
     return max(floor, edge(half))
 

@@ -155,15 +155,14 @@ def test_false_secrets(spark):
     """Random runs are found and, of what is called a secret, few are not random, however many such runs there are."""
     rng, alphabet = random.Random(22), secrets.ENCODINGS[5][1]
     syllables = ["tion", "ing", "her", "and", "the", "ent", "ment", "over", "Data", "List", "user", "Name", "Set", "file", "2024", "01"]
-    for n, many in ((36, 300), (36, 3000), (50, 3000)):
+    for n, many, least in ((20, 3000, 0.5), (24, 300, 0.8), (24, 3000, 0.8), (36, 3000, 0.85), (50, 3000, 0.85)):
         true = {i: "".join(rng.choice(alphabet) for _ in range(n)) for i in range(400)}
         other = {1000 + i: "".join(rng.choice(syllables) for _ in range(n))[:n] for i in range(many)}
         rows = [(i, f"so {t} it is") for i, t in (true | other).items()]
         found = [r.doc_id for r in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r.n_random]
         right = sum(i < 1000 for i in found)
-        assert right > 0.85 * len(true) and len(found) - right <= 0.1 * len(found), (n, many, right, len(found))
-    assert secrets.limit({}, 0.05) >= 0.05
-    assert secrets.limit({b: 0 for b in range(200)} | {0: 300, 3: 300, 5: 2000}, 0.01) >= 0.01
+        assert right > least * len(true) and len(found) - right <= 0.12 * len(found), (n, many, right, len(found))
+    assert secrets.limit({}, {}, 0.05) == 0.05
 
 
 def test_fingerprint(spark, texts):
