@@ -373,6 +373,43 @@ def test_groups_of_frequent_stretches(spark):
     assert all(r.spans == "60:140" for r in got.values())
 
 
+def test_near_passages_beside_smaller_classes(spark):
+    """Near passages of two texts whose groups all hold a smaller class without the passage: they are no partners of the least one, and repeat no 50 words."""
+    rng = random.Random(33)
+    cls = lambda text: (xxhash.xxh64_intdigest(text.encode(), 42) + (1 << 63)) % (1 << 64) / 2**64
+
+    def beside(middle, fits):
+        while not fits(cls(text := f"{words(rng, 60, 10**6)} {middle} {words(rng, 60, 10**6)}")):
+            pass
+        return text
+
+    more = {}
+    for k in range(0, 400, 100):
+        a = words(rng, 84, 10**6).split()
+        b = a[:42] + ["other"] + a[43:]
+        more[k], more[k + 1] = (beside(" ".join(x), lambda x: x > 0.5) for x in (a, b))
+        for i in range(0, 66, 2):
+            more[k + 10 + i] = beside(" ".join(a[i : i + 20]), lambda x: x < 0.4)
+    got = {r.doc_id: (r.class_id, r.spans) for r in substring_dedup.find(frame(spark, more)).collect()}
+    assert got == {k + i: (k, "60:144") for k in range(0, 400, 100) for i in (0, 1)}
+
+
+def test_places_of_a_pair():
+    """Rows of equal pieces count by both ends; meetings against all pairs of places; dense() keeps all that may hold a passage."""
+    s = np.array([7, 7, 7, 7, 1, 2, 7, 3], dtype=np.uint64)
+    x = np.array([[5, 0, 0, 0, 9], [5, 1, 0, 0, 8], [5, 2, 0, 0, 7], [5, 3, 0, 0, 6], [5, 6, 0, 2, 3], [8, 4, 1, 4, 3]])
+    assert substring_dedup.ends_of_rows(s, x).tolist() == [[5, 0, 0, 0, 9], [5, 3, 0, 3, 6], [5, 6, 0, 3, 3], [8, 4, 1, 4, 3]]
+    rng = np.random.default_rng(3)
+    xa, xb = (np.array(sorted((int(g), c, int(g) % 2, *rng.integers(0, 9, 2).tolist()) for c, g in enumerate(rng.integers(0, 6, 30)))) for _ in range(2))
+    want = sorted({(a[1], b[1], a[2], min(a[3], b[3]), min(a[4], b[4])) for a in xa.tolist() for b in xb.tolist() if a[0] == b[0] and min(a[3], b[3]) + min(a[4], b[4]) >= 7})
+    assert [tuple(m) for m in substring_dedup.meeting_places(xa, xb, 8).tolist()] == want
+    for _ in range(300):
+        s, other = (rng.integers(0, 40, 60).astype(np.uint64) for _ in range(2))
+        inside = np.isin(s, other)
+        want = any(4 * inside[i:k].sum() >= 3 * (k - i) for i in range(60) for k in range(i + 12, 61))
+        assert substring_dedup.dense(s, np.unique(other), 12) == want
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 62, 90).astype(np.uint64) << np.uint64(1)
