@@ -25,10 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, keyed_text, ship, trimmed
+from .common import crc_mod, give_back, keyed_text, ship, trimmed
 
 EXAMPLES = 4000
 CHI2 = 20.0
@@ -128,10 +129,10 @@ class Index:
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         return self.nearest_many([(at, w)], k)[0]
 
-    def weigh(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of the unit vector."""
-        at = np.array(sorted(found), dtype=np.int64)
-        w = (1 + np.log(np.array([found[i] for i in at.tolist()], dtype=float))) * self.idf[at]
+    def weigh(self, found: Counter | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of the unit vector; found: counts of terms, or the terms in ascending order and their counts."""
+        at, counts = found if isinstance(found, tuple) else (np.array(sorted(found), dtype=np.int64), [found[i] for i in sorted(found)])
+        w = (1 + np.log(np.array(counts, dtype=float))) * self.idf[at]
         return at, w / max(float(np.linalg.norm(w)), 1e-12)
 
     def vote(self, near: np.ndarray, sims: np.ndarray) -> float:
@@ -155,15 +156,15 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[:, 0] / s[:, 2], (s[:, 1] + 0.1 * y.mean()) / (s[:, 2] + 0.1)
 
 
-def build(vocab: dict[str, int], idf: np.ndarray, base: float, rows: list[tuple[int, int, Counter]]) -> Index:
-    """rows: (doc_id, label, counts) of the examples."""
+def build(vocab: dict[str, int], idf: np.ndarray, base: float, rows: list[tuple]) -> Index:
+    """rows: (doc_id, label, counts as weigh() takes them) of the examples."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))  # labels apart: blocks differ more
-    n, none = len(rows), np.empty(0, dtype=np.int64)
-    index = Index(vocab, idf, base, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), np.zeros(len(idf) + 1, dtype=np.int64), none, np.empty(0), none, none, np.empty(0), np.full(len(idf), -1), np.zeros((0, n)))
+    n, none = len(rows), np.empty(0, dtype=np.int32)
+    index = Index(vocab, idf, base, np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float), np.zeros(len(idf) + 1, dtype=np.int32), none, np.empty(0), none, none, np.empty(0), np.full(len(idf), -1, dtype=np.int32), np.zeros((0, n)))
     if not n:
         return index
     units = [index.weigh(r[2]) for r in rows]
-    terms, members, weights = np.concatenate([u[0] for u in units]), np.repeat(np.arange(n), [len(u[0]) for u in units]), np.concatenate([u[1] for u in units])
+    terms, members, weights = np.concatenate([u[0] for u in units]), np.repeat(np.arange(n, dtype=np.int32), [len(u[0]) for u in units]), np.concatenate([u[1] for u in units])
     df = np.bincount(terms, minlength=len(idf))
     frequent = np.flatnonzero(df * DENSE >= n)
     index.dense[frequent] = np.arange(len(frequent))
@@ -176,9 +177,10 @@ def build(vocab: dict[str, int], idf: np.ndarray, base: float, rows: list[tuple[
     nb = -(-n // BLOCK)
     entry = terms * nb + index.members // BLOCK
     first = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else none
-    index.begins = np.append(first, len(entry))
-    index.blocks, index.bounds = entry[first] % nb, np.maximum.reduceat(index.weights, first) if len(first) else np.empty(0)
-    index.pointers = np.searchsorted(entry[first] // nb, np.arange(len(idf) + 1))
+    index.begins = np.append(first, len(entry)).astype(np.int32)
+    index.blocks, index.bounds = (entry[first] % nb).astype(np.int32), np.maximum.reduceat(index.weights, first) if len(first) else np.empty(0)
+    index.pointers = np.searchsorted(entry[first] // nb, np.arange(len(idf) + 1)).astype(np.int32)
+    del terms, members, weights, often, order, entry, first
     votes = []
     for a in range(0, n, TOGETHER):
         some = list(range(a, min(n, a + TOGETHER)))
@@ -205,23 +207,40 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, examples: int = EXAMP
 
     def run(batches):
         for batch in batches:
-            out = [(i, y, WORD.findall(text.lower())) for i, text, y in zip(*(batch.column(k).to_pylist() for k in ("doc_id", "text", "toxic")))]
-            cols = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.list_(pa.string())))], ["doc_id", "toxic", "words"])
-
-    held = got.mapInArrow(trimmed(run), "doc_id bigint, toxic int, words array<string>").toArrow()
-    held = [(i, y, Counter(w)) for i, y, w in zip(*(held.column(k).to_pylist() for k in ("doc_id", "toxic", "words")))]
-    in_examples = Counter(w for r in held for w in r[2]) if 0 < total.pos < total.n else Counter()
-    vocab = {w: i for i, w in enumerate(sorted(in_examples))}
-    weights = np.array([np.log((1 + total.n) / (1 + min(in_examples[w], total.n))) + 1 for w in vocab], dtype=float)
+            found = [Counter(WORD.findall(text.lower())) for text in batch.column("text").to_pylist()]
+            words, counts = pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), words, counts], ["doc_id", "toxic", "words", "counts"])
+
+    held = got.mapInArrow(trimmed(run), "doc_id bigint, toxic int, words array<string>, counts array<int>").toArrow().combine_chunks()
+    # Words and counts stay in flat arrays: as objects they would take many times the room in the driver.
+    ids, toxic, ends = held.column("doc_id").to_pylist(), held.column("toxic").to_pylist(), np.append(0, np.cumsum(pc.list_value_length(held.column("words")).to_numpy()))
+    counts, coded = pc.list_flatten(held.column("counts")).to_numpy(), pc.list_flatten(held.column("words")).combine_chunks().dictionary_encode()
+    del held
+    order = pc.array_sort_indices(coded.dictionary)
+    words, place = coded.dictionary.take(order), np.empty(len(order), dtype=np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    terms = place[coded.indices.to_numpy()]
+    if not 0 < total.pos < total.n:
+        words, terms, ends = words[:0], terms[:0], np.zeros_like(ends)
+    del coded, order, place
+    vocab = {w: i for i, w in enumerate(words.to_pylist())}
+    weights = np.log((1 + total.n) / (1 + np.minimum(np.bincount(terms, minlength=len(vocab)), total.n))) + 1
     if vocab:
-        wanted = F.broadcast(spark.createDataFrame(pa.table({"word": list(vocab)})))
+        wanted = F.broadcast(spark.createDataFrame(pa.table({"word": words})))
         tied = (df < n) & (a * n > df * pos)
         known = counted.join(wanted, "word", "left_semi").select("word", F.least(df, n).alias("df"), F.when(tied, chi2).otherwise(0.0).alias("chi2")).toArrow()
-        for w, d, x in zip(*(known.column(k).to_pylist() for k in ("word", "df", "chi2"))):
-            weights[vocab[w]] = (np.log((1 + total.n) / (1 + d)) + 1) * (1 + x / CHI2)
-    rows = [(i, y, Counter({vocab[w]: c for w, c in words.items() if w in vocab})) for i, y, words in held]
-    return build(vocab, weights, total.pos / total.n, rows)
+        at, d, x = pc.index_in(known.column("word"), words).to_numpy(), known.column("df").to_numpy(), known.column("chi2").to_numpy()
+        weights[at] = (np.log((1 + total.n) / (1 + d)) + 1) * (1 + x / CHI2)
+        del known, at, d, x
+    rows = []
+    for i, y, begin, end in zip(ids, toxic, ends[:-1].tolist(), ends[1:].tolist()):
+        by_term = begin + np.argsort(terms[begin:end])
+        rows.append((i, y, (terms[by_term], counts[by_term])))
+    del terms, counts, words
+    index = build(vocab, weights, total.pos / total.n, rows)
+    del rows
+    give_back()
+    return index
 
 
 def score(docs: DataFrame, labels: DataFrame, held_out: Column | None = None, threshold: float = 0.3) -> DataFrame:

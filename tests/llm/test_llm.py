@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -515,6 +516,22 @@ def test_toxicity_of_rare_words(spark):
     assert got[1].predicted == 0 and got[1].evidence and got[7].predicted == 1
 
 
+def test_toxicity_fits_in_flat_arrays(spark):
+    """The driver holds no object for each word of each example: under 300 bytes a word at most while it fits (415 before, 246 now)."""
+    rng = random.Random(41)
+    texts = {i: words(rng, 400, 10**6).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(500)}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(500)], "doc_id bigint, toxic int")
+    docs = frame(spark, texts)
+    tracemalloc.start()
+    try:
+        index = toxicity.fit(docs, labels, F.lit(True))
+        peak = tracemalloc.get_traced_memory()[1] / (500 * 400)
+    finally:
+        tracemalloc.stop()
+    assert peak < 300, peak
+    assert len(index.vocab) > 150_000 and len(index.members) + (index.rows > 0).sum() == sum(len(set(t.split())) for t in texts.values())
+
+
 def test_nearest_is_exact():
     """Against all cosines, with many blocks, frequent and rare terms, and one example left out."""
     rng = random.Random(6)
