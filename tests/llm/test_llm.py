@@ -395,6 +395,21 @@ def test_near_passages_beside_smaller_classes(spark):
     assert got == {k + i: (k, "60:144") for k in range(0, 400, 100) for i in (0, 1)}
 
 
+def test_groups_are_copied_for_members_outside_the_largest_component(spark):
+    """Pairs of different components against all pairs; a group is not copied for its largest component, nor for pairs that one task can make."""
+    rng = random.Random(44)
+    parts = {(g, c): 0 if g < 2 or rng.random() < 0.7 else rng.randrange(1, 9) if g < 4 else c for g, n in enumerate((900, 1, 700, 60, 300)) for c in range(g, g + n)}
+    parts |= {(0, c): c for c in range(900, 905)} | {(5, c): c // 2 for c in range(4000)}
+    one = spark.createDataFrame([(g, 0, c, 30, 30, p) for (g, c), p in parts.items()], "g bigint, j int, cls bigint, before int, after int, part bigint")
+    left, right = substring_dedup.cut_up(one)
+    got = sorted((r.g, *sorted((r.cls, r.o.cls))) for r in left.join(right.withColumnRenamed("part", "_"), ["g", "cut"]).where("g < 5 and part <> o.part and (o.part = main or cls < o.cls)").collect())
+    groups = {g: [c for x, c in parts if x == g] for g in range(5)}
+    assert got == sorted((g, a, b) for g, own in groups.items() for a in own for b in own if a < b and parts[g, a] != parts[g, b])
+    copies = {r.g: r["count"] for r in right.groupBy("g").count().collect()}
+    assert copies[0] == 905 and 1 not in copies and copies[2] == 700 and copies[3] == 60 and copies[4] == 300
+    assert 4000 * 3998 * 4000 / substring_dedup.PAIRS_A_CUT <= copies[5] <= 4000 * 63
+
+
 def test_places_of_a_pair():
     """Rows of equal pieces count by both ends; meetings against all pairs of places; dense() keeps all that may hold a passage."""
     s = np.array([7, 7, 7, 7, 1, 2, 7, 3], dtype=np.uint64)
