@@ -426,6 +426,41 @@ def test_places_of_a_pair():
         assert substring_dedup.dense(s, np.unique(other), 12) == want
 
 
+def test_covered_places():
+    """Places in stretches that have 3/4 in another text, against all stretches."""
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        s, other = (rng.integers(0, size, 60).astype(np.uint64) for size in (40, rng.integers(20, 60)))
+        inside, want = np.isin(s, other), np.zeros(60, dtype=bool)
+        for i in range(60):
+            for k in range(i + 12, 61):
+                want[i:k] |= 4 * inside[i:k].sum() >= 3 * (k - i)
+        assert substring_dedup.covered(s, np.unique(other), 12).tolist() == want.tolist()
+    assert substring_dedup.covered(s[:5], s, 12).tolist() == [False] * 5
+
+
+def test_places_are_dealt_out_without_those_inside_rows_of_equal_pieces(spark):
+    rng = random.Random(51)
+    row = f"{words(rng, 12)} " * 25
+    more = {1: f"{row} {words(rng, 60)}", 2: f"{words(rng, 70)} {row}", 3: words(rng, 90)}
+    docs = substring_dedup.keyed_text(frame(spark, more)).selectExpr("*", "xxhash64(text) as cls")
+    firsts = docs.selectExpr("cls", "doc_id", "1 as copies")
+    met = substring_dedup.meetings(docs, firsts, 46, substring_dedup.HASHES)
+    label = spark.createDataFrame([], "cls bigint, component bigint")
+    pairs, places = substring_dedup.across(met, label, docs, firsts, 46)
+    assert pairs.count() == 1
+    got = {r.cls: [tuple(x) for x in r.x] for r in places.collect()}
+    every = met.collect()
+    apart = {r.g for r in every if r.cls != r.lo.cls}
+    text = {r.cls: r.text for r in docs.collect()}
+    assert len(got) == 2
+    for c, x in got.items():
+        own = np.array(sorted({(r.g, r.c, r.j, r.before, r.after) for r in every if r.cls == c and r.g in apart}))
+        s = substring_dedup.Shingles.of((substring_dedup.word_hashes(text[c]) >> np.uint64(32)).astype(np.uint32)).s
+        want = substring_dedup.ends_of_rows(s, own)
+        assert x == [tuple(y) for y in want.tolist()] and len(x) < len(own)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 1 << 62, 90).astype(np.uint64) << np.uint64(1)
