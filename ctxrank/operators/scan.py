@@ -11,21 +11,19 @@ from ctxrank.functions import globs
 from ctxrank.functions.fixed import CHARS_PER_TOKEN, MAX_FILE_BYTES
 
 
-def skip_reason(include: Iterable[str], exclude: Iterable[str], ignored: Column | None = None) -> Column:
-    """The first reason that holds for a file (path, length, inside, readable), or `accepted`."""
+def skip_reason(include: Iterable[str], exclude: Iterable[str], ignored: Column | None = None, by_path: bool = False) -> Column:
+    """The first reason that holds for a file (path, length, inside, readable), or `accepted`; by_path: of those that its path gives."""
     path, length = F.col("path"), F.col("length")
-    return (
+    reason = (
         F.when(globs.is_sensitive(path), "sensitive")
         .when(globs.is_binary(path), "binary")
         .when(globs.matches(path, exclude), "excluded")
         .when(F.lit(False) if ignored is None else ignored, "ignored")
         .when(~globs.matches(path, include), "not_included")
-        .when(~F.col("inside"), "outside_root")
-        .when(~F.col("readable"), "unreadable")
-        .when(length == 0, "empty")
-        .when(length > MAX_FILE_BYTES, "too_large")
-        .otherwise("accepted")
     )
+    if not by_path:
+        reason = reason.when(~F.col("inside"), "outside_root").when(~F.col("readable"), "unreadable").when(length == 0, "empty").when(length > MAX_FILE_BYTES, "too_large")
+    return reason.otherwise("accepted")
 
 
 def folders(files: DataFrame) -> DataFrame:
@@ -63,19 +61,19 @@ def reach_regex(include: Iterable[str]) -> str:
     return rf"^(?:{'|'.join(out)})\z" if out else globs.NEVER
 
 
-def scan(files: DataFrame, include: Iterable[str], exclude: Iterable[str]) -> DataFrame:
+def scan(files: DataFrame, include: Iterable[str], exclude: Iterable[str], by_path: bool = False) -> DataFrame:
     """files with reason; what lies below a dropped folder is not seen at all."""
     up = folders(files).withColumn("verdict", folder_verdict(include, exclude))
     unseen = up.where("verdict <> 'kept'").select("path").distinct()
-    return files.join(unseen, "path", "left_anti").withColumn("reason", skip_reason(include, exclude))
+    return files.join(unseen, "path", "left_anti").withColumn("reason", skip_reason(include, exclude, by_path=by_path))
 
 
-def coverage(files: DataFrame, include: Iterable[str], exclude: Iterable[str]) -> DataFrame:
+def coverage(files: DataFrame, include: Iterable[str], exclude: Iterable[str], by_path: bool = False) -> DataFrame:
     """(reason, n): files by reason, and folders that ignore rules or reachability dropped, each counted once at its top."""
     up = folders(files).withColumn("verdict", folder_verdict(include, exclude))
     tops = up.where("verdict <> 'kept'").groupBy("path").agg(F.min_by(F.struct("folder", "verdict"), "depth").alias("t")).select("t.*").distinct()
     tops = tops.where("verdict <> 'dropped'").groupBy(F.col("verdict").alias("reason")).agg(F.count("*").alias("n"))
-    seen = scan(files, include, exclude).groupBy("reason").agg(F.count("*").alias("n"))
+    seen = scan(files, include, exclude, by_path).groupBy("reason").agg(F.count("*").alias("n"))
     return seen.union(tops).groupBy("reason").agg(F.sum("n").alias("n"))
 
 
