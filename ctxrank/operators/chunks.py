@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,13 +24,24 @@ def split_lines(text: str) -> list[str]:
     return text.splitlines(keepends=True)
 
 
-def windows(lines: list[str], chars: int = CHUNK_CHARS) -> list[tuple[int, int, str]]:
-    """(first, last, text): a window closes once it is three quarters full and the next line starts a definition or is blank, or when it is full."""
+#: What SQL's trim() takes off, and the line end.
+SPACES = "\n \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def newline_lines(text: str) -> list[str]:
+    """Lines with their ends, cut at newlines alone; an empty text is one empty line."""
+    parts = text.split("\n")
+    lines = [f"{x}\n" for x in parts[:-1]]
+    return [*lines, parts[-1]] if parts[-1] or not lines else lines
+
+
+def windows(lines: list[str], chars: int = CHUNK_CHARS, space: str | None = None) -> list[tuple[int, int, str]]:
+    """(first, last, text): a window closes once it is three quarters full and the next line starts a definition or is blank (of `space`), or when it is full."""
     boundary, out, first, size = re.compile(BOUNDARY), [], 0, 0
     for i, line in enumerate(lines):
         size += len(line)
         following = lines[i + 1] if i + 1 < len(lines) else None
-        natural = following is not None and (boundary.match(following) is not None or not following.strip())
+        natural = following is not None and (boundary.match(following) is not None or not following.strip(space))
         if size >= chars or size >= SOFT_MINIMUM * chars and natural:
             out.append((first, i, "".join(lines[first : i + 1])))
             first, size = i + 1, 0
@@ -63,17 +75,17 @@ def enclosing(lines: list[str], start: int) -> str | None:
 SCHEMA = "path string, part bigint, start_line bigint, end_line bigint, symbol string, whole_file boolean, body string"
 
 
-def window_chunks(files: DataFrame, chars: int = CHUNK_CHARS) -> DataFrame:
-    """(path, part, start_line, end_line, symbol, whole_file, body): one narrow pass, a file a row."""
+def window_chunks(files: DataFrame, chars: int = CHUNK_CHARS, cut: Callable[[str], list[str]] = split_lines, space: str | None = None, blank: bool = False) -> DataFrame:
+    """(path, part, start_line, end_line, symbol, whole_file, body): one narrow pass, a file a row; blank texts have chunks if `blank`."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for path, text in zip(pdf.path, pdf.text):
-                if not text or not text.strip():
+                if text is None or not blank and not text.strip():
                     continue
-                lines = split_lines(text)
-                found = windows(lines, chars)
+                lines = cut(text)
+                found = windows(lines, chars, space)
                 rows += [(path, k, a + 1, b + 1, enclosing(lines, a), len(found) == 1, body) for k, (a, b, body) in enumerate(found)]
             yield pd.DataFrame(rows, columns=["path", "part", "start_line", "end_line", "symbol", "whole_file", "body"])
 
