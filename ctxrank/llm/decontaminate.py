@@ -8,7 +8,7 @@ Items of fewer than SHORT words are also hashed under SHORT_MASKS, which leave n
 allows uncovered up to 12 words; those of one to three words are hashed whole.
 
 The benchmark's windows are broadcast while there are at most BROADCAST_ROWS of them, and its items while they have
-BROADCAST_WORDS words at most (both counted first, 10 and 16 MB); beyond, the joins shuffle, windows without the words they come from.
+BROADCAST_WORDS words at most (both counted first, 10 and 16 MB); beyond, the joins shuffle, windows without the words they come from. clean() broadcasts the ids that it drops up to BROADCAST_ROWS.
 
 Defined results: null and empty texts and items hit nothing; an item without words is in no document; repeated
 documents are reported once for each doc_id and item, with the best overlap (ties: the first place); an empty table on either side
@@ -80,5 +80,6 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFra
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """docs without the documents that hold an item."""
     mark = fresh(docs, "found_id")
-    found = find(docs, benchmark, least).select(F.col("doc_id").alias(mark)).distinct()
-    return docs.join(found, F.col("doc_id").cast("bigint") == F.col(mark), "left_anti")
+    found = materialize(find(docs, benchmark, least).select(F.col("doc_id").alias(mark)).distinct(), "found")
+    few = found.count() <= BROADCAST_ROWS  # else the texts are dealt out
+    return docs.join(F.broadcast(found) if few else found, F.col("doc_id").cast("bigint") == F.col(mark), "left_anti")

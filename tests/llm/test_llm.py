@@ -487,6 +487,15 @@ def test_decontaminate(spark):
     assert decontaminate.find(df.limit(0), bench).count() == 0 and decontaminate.find(df, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_deals_out_no_texts(spark, monkeypatch):
+    docs, bench = frame(spark, {i: f"tiny item {i}" if i % 2 else "other words" for i in range(20)}), spark.createDataFrame([(1, "tiny item")], "item_id bigint, text string")
+    few = decontaminate.clean(docs, bench)
+    assert "LeftAnti, BuildRight" in few._jdf.queryExecution().sparkPlan().toString()  # the ids go out, the texts stay
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    many = decontaminate.clean(docs, bench)
+    assert sorted(r.doc_id for r in few.collect()) == sorted(r.doc_id for r in many.collect()) == list(range(0, 20, 2))
+
+
 def brute_overlap(doc, item, least=0.75):
     """(matched, start) of the best diagonal, None below least."""
     split = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
