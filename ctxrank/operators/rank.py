@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ctxrank.functions.fixed import HEADER_RESERVE_TOKENS, MAX_K, RRF_K, SHARD_TOKENS
+from ctxrank.operators import lexical
 
 TOKEN = r"[^a-z0-9]+"
-#: Query terms are broadcast up to this number of rows; beyond it the join shuffles.
+#: Queries' terms are held by workers up to this number of rows, as are a task's best; beyond it joins shuffle.
 BROADCAST_TERMS = 200_000
 
 
@@ -20,12 +21,37 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(text), TOKEN)), "")
 
 
-def lexical_scores(queries: DataFrame, chunks: DataFrame, null_text: str = "N/A") -> DataFrame:
+def rounded(x: Column, digits: int) -> Column:
+    """As SQL's round() of doubles (lexical.rounded)."""
+    y = F.abs(x * F.lit(10.0**digits))
+    whole = F.floor(y).cast("double")
+    return F.signum(x) * (whole + F.when(y - whole >= 0.5, 1.0).otherwise(0.0)) / F.lit(10.0**digits)
+
+
+def lexical_model(queries: DataFrame, chunks: DataFrame, null_text: str = "N/A") -> lexical.Model | None:
+    """None where the queries have too many terms for the workers."""
+    if queries.select(F.explode(terms(F.col("text")))).limit(BROADCAST_TERMS + 1).count() > BROADCAST_TERMS:
+        return None
+    asked = queries.select(F.col("query_id").cast("bigint"), "text").where(F.size(terms(F.col("text"))) > 0)
+    return lexical.Model([tuple(r) for r in asked.collect()], chunks, null_text)
+
+
+def lexical_scores(queries: DataFrame, chunks: DataFrame, null_text: str = "N/A", k: int | None = None, digits: int = 9) -> DataFrame:
     """(query_id, chunk_id, raw, null_score, score) of chunks that share a term with a query.
 
-    A stand-in for a model: the sum of ln(1 + n / df) over shared distinct terms; score = raw - null, the null being
-    the score of a query without content.
+    A stand-in for a model: the sum of ln(1 + n / df) over shared distinct terms; score = raw - null, rounded, the null
+    being the score of a query without content. With k, pairs that are not among their query's k best may be missing.
     """
+    model = lexical_model(queries, chunks, null_text)
+    if model is None:
+        return joined_scores(queries, chunks, null_text).withColumn("score", F.round(F.col("raw") - F.col("null_score"), digits))
+    if k is not None and len(model.ids) * k > 10 * BROADCAST_TERMS:
+        k = None
+    return lexical.scores(model, chunks, k, digits)
+
+
+def joined_scores(queries: DataFrame, chunks: DataFrame, null_text: str) -> DataFrame:
+    """lexical_scores() by joins."""
     wanted = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term"))
     null = queries.sparkSession.range(1).select(F.explode(terms(F.lit(null_text))).alias("term"))
     vocabulary = wanted.select("term").union(null).distinct()
@@ -42,10 +68,22 @@ def lexical_scores(queries: DataFrame, chunks: DataFrame, null_text: str = "N/A"
     return both.select("query_id", "chunk_id", F.round("raw", 9).alias("raw"), F.round("null_score", 9).alias("null_score"), F.round(F.col("raw") - F.col("null_score"), 9).alias("score"))
 
 
+def best_places(queries: DataFrame, chunks: DataFrame, null_text: str = "N/A", digits: int = 9) -> DataFrame:
+    """(query_id, best): the place from 1, in its query's whole ranking, of the best chunk that holds the query's text; queries without one have no row."""
+    model = lexical_model(queries, chunks, null_text)
+    if model is not None:
+        return queries.sparkSession.createDataFrame(lexical.best_places(model, chunks, digits), "query_id bigint, best bigint")
+    scores = joined_scores(queries, chunks, null_text).withColumn("score", F.round(F.col("raw") - F.col("null_score"), digits))
+    places = scores.withColumn("best", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")).cast("bigint"))
+    held = queries.select("query_id", F.col("text").alias("asked")).join(chunks.select("chunk_id", "text"), F.contains("text", "asked")).select("query_id", "chunk_id")
+    return held.join(places, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("best").alias("best"))
+
+
 def top_k(scores: DataFrame, k: int, by: str = "query_id") -> DataFrame:
     """(…, rank) 0-based; k is at most MAX_K."""
     w = Window.partitionBy(by).orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(w).cast("bigint") - 1).where(F.col("rank") < min(k, MAX_K))
+    best = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(k, MAX_K))  # so that Spark limits each task's rows first
+    return best.withColumn("rank", F.col("rank").cast("bigint") - 1)
 
 
 def interleave(scores: DataFrame) -> DataFrame:
@@ -103,7 +141,11 @@ def packed(ranking: DataFrame, group: str, budget: int) -> DataFrame:
 def two_tiers(theta: DataFrame, second: DataFrame) -> DataFrame:
     """theta (query_id, chunk_id, rank, score) reordered: those with a second score first, by it, then the tail as it was."""
     both = theta.join(second.select("query_id", "chunk_id", F.col("score").alias("s2"), F.lit(True).alias("reranked")), ["query_id", "chunk_id"], "left")
-    both = both.withColumn("reranked", F.coalesce("reranked", F.lit(False)))
+    return reordered(both.withColumn("reranked", F.coalesce("reranked", F.lit(False))))
+
+
+def reordered(both: DataFrame) -> DataFrame:
+    """two_tiers() of rows that have their second score (s2) and whether there is one (reranked)."""
     w = Window.partitionBy("query_id").orderBy(F.desc("reranked"), F.desc_nulls_last("s2"), "rank")
     return both.select("query_id", "chunk_id", "reranked", F.coalesce("s2", "score", F.lit(0.0)).alias("score"), (F.row_number().over(w).cast("bigint") - 1).alias("rank"))
 

@@ -126,3 +126,64 @@ def test_folders_are_judged_by_what_is_in_them(spark):
     df = spark.createDataFrame([("build1",), ("foo.map",), ("node_modules",), ("a/.git",)], "folder string")
     got = {r.folder: r.v for r in df.select("folder", scan.folder_verdict(["**/*"], ["build*", "**/*.map", "**/node_modules/**"]).alias("v")).collect()}
     assert got == {"build1": "kept", "foo.map": "kept", "node_modules": "dropped", "a/.git": "dropped"}
+
+
+TEXTS = [(0, "alpha beta"), (1, "alpha beta"), (2, "beta gamma n"), (3, None), (4, ""), (5, "ALPHA-beta gamma, delta"), (6, "delta " * 3), (7, "xalpha beta gammax a")] + [(10 + i, f"alpha w{i} beta w{i % 7}") for i in range(60)]
+ASKED = [(0, "alpha beta gamma"), (1, "delta"), (2, ""), (3, None), (4, "none of it"), (5, "w3 w4"), (6, "n/a")]
+
+
+def brute_scores(digits=9):
+    import math
+    import re
+
+    cut = lambda t: set(re.findall("[a-z0-9]+", (t or "").lower()))
+    df = {t: sum(t in cut(x) for _, x in TEXTS) for _, x in TEXTS for t in cut(x)}
+    total = lambda found: round(sum(math.log(1 + len(TEXTS) / df[t]) for t in found), 9)
+    return {(q, c): round(total(cut(a) & cut(x)) - total({"n", "a"} & cut(x)), digits) for q, a in ASKED for c, x in TEXTS if cut(a) & cut(x)}
+
+
+def frames(spark):
+    return spark.createDataFrame(ASKED, "query_id bigint, text string"), spark.createDataFrame(TEXTS, "chunk_id bigint, text string").repartition(3)
+
+
+@pytest.mark.parametrize("terms", [rank.BROADCAST_TERMS, 0])
+def test_scores_and_best_places(spark, monkeypatch, terms):
+    """All pairs, the best of each query and the places of chunks that hold a query, by counts in place and by joins."""
+    monkeypatch.setattr(rank, "BROADCAST_TERMS", terms)
+    want = brute_scores()
+    order = {q: sorted((c for x, c in want if x == q), key=lambda c: (-want[q, c], c)) for q, _ in ASKED}
+    assert {(r.query_id, r.chunk_id): round(r.score, 8) for r in rank.lexical_scores(*frames(spark)).collect()} == {k: round(x, 8) for k, x in want.items()}
+    for k in (1, 3, 200):
+        got = rank.top_k(rank.lexical_scores(*frames(spark), k=k), k).collect()
+        assert {(r.query_id, r.rank): r.chunk_id for r in got} == {(q, i): c for q, x in order.items() for i, c in enumerate(x[:k])}
+    held = {(q, c) for q, a in ASKED for c, x in TEXTS if a is not None and x is not None and a in x and (q, c) in want}
+    assert dict(rank.best_places(*frames(spark)).collect()) == {q: min(order[q].index(c) + 1 for x, c in held if x == q) for q in {q for q, _ in held}}
+
+
+def test_best_pairs_are_not_all_pairs(spark):
+    """Tasks emit what may be among the best; Spark limits each task's rows before it deals them out."""
+    queries = spark.createDataFrame([(0, "alpha beta")], "query_id bigint, text string")
+    chunks = spark.range(5000).select(F.col("id").alias("chunk_id"), F.lit("alpha beta").alias("text")).repartition(2)
+    scores = rank.lexical_scores(queries, chunks, k=5)
+    assert scores.count() == 10
+    assert [r.chunk_id for r in rank.top_k(scores, 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert "WindowGroupLimit" in rank.top_k(rank.lexical_scores(queries, chunks), 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_place_beyond_max_k_counts(spark):
+    queries = spark.createDataFrame([(0, "alpha beta gamma")], "query_id bigint, text string")
+    texts = [(i, "alpha gamma beta") for i in range(300)] + [(300, "an alpha beta gamma")]
+    assert [tuple(r) for r in rank.best_places(queries, spark.createDataFrame(texts, "chunk_id bigint, text string")).collect()] == [(0, 301)]
+
+
+def test_round_as_sql(spark):
+    import duckdb
+    import numpy as np
+
+    from ctxrank.operators import lexical
+
+    values = [i / 100_000 + 73 for i in range(0, 2000, 5)] + [-2.5, -0.0, 0.0, 12.345678500000001]
+    want = [r[0] for r in duckdb.execute("SELECT round(x, 4) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [values]).fetchall()]
+    assert lexical.rounded(np.array(values), 4).tolist() == want
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(rank.rounded(F.col("x"), 4)).collect()
+    assert [r[0] for r in got] == want
